@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planewise.llm import fingerprint, packing, substring
+from planewise.llm import fingerprint, langid, ngram_join, packing, quality, rules, substring
+from planewise.llm.common import fold
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -26,12 +27,32 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.component_table(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring.dedup_substrings(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda a, x: a + x["length"])
     return done.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), removed.alias("n_removed"), "removed_spans")
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return rules.apply_rules(docs, rules.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
