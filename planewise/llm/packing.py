@@ -34,6 +34,18 @@ PIECES = "grp long, doc_id long, start long, doc_tokens long, ids binary"
 PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+class _Known(dict):
+    """Parts to their ids; what is missing is encoded on first use."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, part: str) -> bytes:
+        out = self[part] = self.encode(part)
+        return out
+
+
 class WordTokenizer:
     """A ``tokenizers`` file applied word part by word part, with a bounded memory of parts.
 
@@ -63,7 +75,7 @@ class WordTokenizer:
         self.parts = re.compile(self.LATIN)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.most = most_parts
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._part)
         # The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for U+0100 onwards.
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         others = [b for b in range(256) if b not in plain]
@@ -73,6 +85,8 @@ class WordTokenizer:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _part(self, part: str) -> bytes:
+        if part[0] == "\x1c":  # marked by _split
+            return self._whole(part[1:])
         tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))
         return np.array([t.id for t in tokens], self.dtype).tobytes()
 
@@ -91,16 +105,12 @@ class WordTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian bytes."""
         out: list[bytes] = []
-        for i in range(0, len(texts), 64):
-            some = [t or "" for t in texts[i : i + 64]]
-            split = [self._split(t) for t in some]
-            new = set().union(*(c for c in split if c)) - self.known.keys()
-            for p in new:
-                self.known[p] = self._whole(p[1:]) if p[0] == "\x1c" else self._part(p)
-            get = self.known.__getitem__
-            out += [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(some, split, strict=True)]
+        for t in texts:
+            parts = self._split(t or "")
+            out.append(self._whole(t) if parts is None else b"".join(map(self.known.__getitem__, parts)))
             if len(self.known) > self.most:  # common parts came first; the later half goes
-                self.known = dict(itertools.islice(self.known.items(), self.most // 2))
+                for part in list(itertools.islice(self.known, self.most // 2, None)):
+                    del self.known[part]
         return out
 
 
