@@ -1 +1,37 @@
-"""Planewise: numeric tensors and model checkpoints as Spark tables, analysed and coded losslessly."""
+"""Planewise: numeric tensors and model checkpoints as Spark tables, analysed and coded losslessly.
+
+The functions here work on single buffers; ``planewise.operators`` has their DataFrame forms.
+"""
+
+from planewise.functions.checkpoint import (
+    CheckpointReader,
+    compress_checkpoint,
+    compress_file,
+    decompress_checkpoint,
+    decompress_file,
+    load_file,
+    model_delta_compress,
+    model_delta_decompress,
+    peek,
+    save_file,
+)
+from planewise.functions.codec import (
+    FrameError,
+    chunked_compress,
+    compress,
+    decompress,
+    decompress_array,
+    delta_compress,
+    delta_decompress,
+    info,
+    turbo_compress,
+)
+
+#: An array goes through the same function as bytes do.
+compress_array = compress
+
+__all__ = [
+    "CheckpointReader", "FrameError", "chunked_compress", "compress", "compress_array", "compress_checkpoint", "compress_file", "decompress", "decompress_array",
+    "decompress_checkpoint", "decompress_file", "delta_compress", "delta_decompress", "info", "load_file", "model_delta_compress", "model_delta_decompress",
+    "peek", "save_file", "turbo_compress",
+]

@@ -181,7 +181,7 @@ BY_SAFETENSORS = {d.safetensors: d for d in DTYPES if d.safetensors}
 def dtype(name: str | None) -> DType:
     """The registry entry of a type name, in any case; None is raw bytes."""
     code = (name or "raw").lower()
-    code = DTYPE_ALIASES.get(code, code)
+    code = DTYPE_ALIASES.get(code, BY_SAFETENSORS[code.upper()].code if code.upper() in BY_SAFETENSORS else code)
     if code not in _BY_CODE:
         raise ValueError(f"unknown dtype {name!r}")
     return _BY_CODE[code]

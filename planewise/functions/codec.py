@@ -315,7 +315,7 @@ def compress(data, *, dtype: str | None = None, level: int = 3, effort: str = "b
         raise ValueError("level must be in 1..22")
     head: dict = {}
     if isinstance(data, np.ndarray):
-        array = np.ascontiguousarray(data)
+        array = np.asarray(data, order="C")
         head = {"numpy": array.dtype.str, "shape": list(array.shape)}
         raw = array.astype(array.dtype.newbyteorder("<"), copy=False).tobytes()
         dtype = dtype or array.dtype.name

@@ -1,6 +1,6 @@
 """Checkpoint files as tables of tensors.
 
-``spark.dataSource.register(SafetensorsDataSource)`` adds the format ``safetensors``: one row a tensor, with
+``register(spark)`` adds the format ``safetensors``: one row a tensor, with
 filters on ``name`` pushed into the scan and only the wanted byte ranges read; it needs paths that the executors can
 open.  ``read_checkpoints`` reads the same rows through Spark's own file reader, from any store.
 """
@@ -133,6 +133,12 @@ class SafetensorsDataSource(DataSource):
         return _Writer(self.options["path"], overwrite)
 
 
+def register(spark: SparkSession) -> None:
+    """Add the format to a session, and let filters reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SafetensorsDataSource)
+
+
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
     """Tensors of all safetensors files or containers under a path, plain or compressed; told apart by their first bytes."""
 
