@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from planewise.functions import checkpoint, codec
 from planewise.operators import container
@@ -22,8 +24,9 @@ _ROWS = 64
 def map_rows(df: DataFrame, added: str, kernel: Callable[[dict], tuple], drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` without ``drop`` and with the columns ``added`` (DDL) that ``kernel`` makes of each row."""
     kept = [f for f in df.schema.fields if f.name not in drop]
-    new = [x.strip().split()[0] for x in added.split(",")]
-    names = [f.name for f in kept] + new
+    new = T.StructType.fromDDL(added).fields
+    kinds = [to_arrow_type(f.dataType) for f in new]
+    names = [f.name for f in kept] + [f.name for f in new]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,7 +34,7 @@ def map_rows(df: DataFrame, added: str, kernel: Callable[[dict], tuple], drop: t
             for i in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(i, _ROWS)
                 made = [kernel(row) for row in part.to_pylist()]
-                cols = [pa.array(list(c)) for c in zip(*made, strict=True)]
+                cols = [pa.array(list(c), k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part[f.name] for f in kept), *cols], names=names)
 
     return df.mapInArrow(run, schema)
