@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planewise.llm import langid, ngram_join, packing, quality, substring
-from planewise.llm.common import written
+from planewise.llm.common import small_batches, written
 
 #: Near duplicates here: five-word shingles, Jaccard 0.8 or more.
 SHINGLE, PERCENT = 5, 80
@@ -22,16 +22,19 @@ TOKENIZER = "word_bpe_49k.json"
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language."""
+    small_batches(spark)
     return langid.keep_known(docs, langid.train(docs))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, that of the smallest id; one of rows equal in id and text."""
+    small_batches(spark)
     found = ngram_join.component_table(docs, size=SHINGLE, percent=PERCENT)
     dropped = found.where("component_id < doc_id").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
@@ -44,12 +47,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur earlier in the corpus go; every document stays, with what is its own."""
+    small_batches(spark)
     done = substring.dedup_substrings(docs)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
+    small_batches(spark)
     pieces = packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

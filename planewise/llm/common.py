@@ -2,13 +2,63 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch: documents are long, and a task holds a few batches at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds; for sessions that still have Spark's default of 10,000 rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+_tuned: list[bool] = []
+
+
+def _libc():
+    """glibc's allocator controls, where there are any."""
+    try:
+        libc = ctypes.CDLL(None)
+        return libc if hasattr(libc, "mallopt") and hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def trimmed(kernel: Callable) -> Callable:
+    """An Arrow kernel that gives freed memory back: workers live on between tasks and would keep it.
+
+    Large arrays get mappings of their own, and the heap is trimmed when a partition is done.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = _libc()
+        if libc is not None and not _tuned:
+            libc.mallopt(-8, 2)  # M_ARENA_MAX
+            libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+            _tuned.append(True)
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return run
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only if it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,6 +74,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/planewise-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # the shuffles behind it are done with: unreachable plans let Spark's cleaner delete their files
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

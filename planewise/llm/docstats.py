@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewise.llm.common import fold
-from planewise.llm.textbuf import Slice, each_slice, flatten, slices, window_hashes
+from planewise.llm.common import fold, trimmed
+from planewise.llm.textbuf import Slice, each_slice, flatten, order_by_doc, slices, window_hashes
 
 SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _UPPER = np.isin(np.arange(256), np.arange(65, 91))
@@ -33,7 +33,7 @@ def _repeats(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     g, at = window_hashes(h, doc, REPEAT_WINDOW)
     if not len(g):
         return np.zeros(n, np.int64)
-    order = np.lexsort((g, doc[at]))
+    order = order_by_doc(g, doc[at])
     sg, sd = g[order], doc[at][order]
     same = (sg[1:] == sg[:-1]) & (sd[1:] == sd[:-1])
     twice = np.zeros(len(g), bool)
@@ -52,7 +52,7 @@ def _dup_lines(s: Slice, words_before: np.ndarray) -> tuple[np.ndarray, np.ndarr
     full = words_before[end] > words_before[start]
     start, end, doc = start[full], end[full], doc[full]
     h = s.hashes(start, end)
-    order = np.lexsort((h, doc))
+    order = order_by_doc(h, doc)
     h, d = h[order], doc[order]
     later = d[1:][(h[1:] == h[:-1]) & (d[1:] == d[:-1])]
     return np.bincount(doc, minlength=s.n), np.bincount(later, minlength=s.n)
@@ -79,7 +79,7 @@ def base_stats(s: Slice, full: bool = False) -> tuple[np.ndarray, np.ndarray | N
     w, c = np.maximum(words, 1), np.maximum(word_chars, 1)
     letters = np.maximum(s.per_doc(_LETTER[buf]), 1)
     of_words = lambda flags: np.bincount(doc[flags], minlength=n) / w
-    order = np.lexsort((h, doc))
+    order = order_by_doc(h, doc)
     sh, sd = h[order], doc[order]
     new = np.ones(len(sh), bool)
     new[1:] = (sh[1:] != sh[:-1]) | (sd[1:] != sd[:-1])
@@ -116,7 +116,7 @@ def scored(docs: DataFrame, id_col: str, text_col: str, schema: str, kernel, ext
                 yield pa.RecordBatch.from_arrays([rest[0], *kernel(counts, x), *rest.columns[2:]], names=names)
 
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(extra or [])]
-    return docs.select(*cols).mapInArrow(run, schema)
+    return docs.select(*cols).mapInArrow(trimmed(run), schema)
 
 
 def kept_rows(docs: DataFrame, text_col: str, keep) -> DataFrame:
@@ -130,7 +130,7 @@ def kept_rows(docs: DataFrame, text_col: str, keep) -> DataFrame:
             if mask:
                 yield batch.filter(pa.array(np.concatenate(mask)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int = 5, held_out: int = 0) -> tuple[np.ndarray, np.ndarray]:

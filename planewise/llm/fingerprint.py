@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from planewise.llm.chunking import Chunking
-from planewise.llm.common import pairs_of, shuffle_partitions
-from planewise.llm.textbuf import each_slice
+from planewise.llm.common import pairs_of, shuffle_partitions, trimmed
+from planewise.llm.textbuf import each_slice, order_by_doc
 
 CHUNKS = Chunking()
 _ENTRY = np.dtype([("digest", "<u8"), ("weight", "<u2")])
@@ -39,7 +39,7 @@ def fingerprints(texts: list[str | None], chunking: Chunking = CHUNKS) -> list[n
     for _, _, s in each_slice(pa.array(texts, pa.large_string())):
         start, end, doc = chunking.chunks(s)
         digest = s.hashes(start, end)
-        order = np.lexsort((digest, doc))
+        order = order_by_doc(digest, doc)
         digest, doc, weight = digest[order], doc[order], (end - start)[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])
@@ -123,7 +123,7 @@ def with_neighbour(docs: DataFrame, id_col: str, text_col: str, schema: str, ker
                     held = held[-1:]
                     size = len(held[0][1])
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(trimmed(run), schema)
 
 
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

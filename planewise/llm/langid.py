@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from planewise.llm.common import fold
+from planewise.llm.common import fold, trimmed
 from planewise.llm.textbuf import U64, flatten, mix, slices
 
 ORDER = 4
@@ -177,7 +177,7 @@ class Models:
         edge = np.searchsorted(doc[at], np.arange(n + 1))
         count = np.diff(edge)
         total = cum[edge[1:]] - cum[edge[:-1]]
-        letters = np.bincount(doc[at], weights=sign[at] != 0, minlength=n)
+        letters = np.bincount(doc[at][sign[at] != 0], minlength=n).astype(float)
         return -total / np.maximum(count, 1)[:, None], letters
 
     def decide(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,7 +284,7 @@ def train(docs: DataFrame, *, most_docs: int = MOST_DOCS, folds: int = 4, held_o
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "size", "gram", "context", "suffix", "n"])
         held.clear()
 
-    types = rows.mapInArrow(count, "lang string, size int, gram long, context long, suffix long, n long")
+    types = rows.mapInArrow(trimmed(count), "lang string, size int, gram long, context long, suffix long, n long")
     table = types.groupBy("lang", "size", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n")).toPandas()
     if not len(table):
         return Models([], [], 0.0)
@@ -303,7 +303,7 @@ def train(docs: DataFrame, *, most_docs: int = MOST_DOCS, folds: int = 4, held_o
                 own = h[np.arange(j - i), np.searchsorted(langs, names[i:j].astype(str))]
                 yield pa.RecordBatch.from_arrays([pa.array(names[i:j], pa.string()), pa.array(own), pa.array(letters)], names=["lang", "h", "letters"])
 
-    fits = rows.mapInArrow(measure, "lang string, h double, letters double").where("letters > 0")
+    fits = rows.mapInArrow(trimmed(measure), "lang string, h double, letters double").where("letters > 0")
     # limits: the median plus `slack` times a robust spread, and as much more a text of n letters as 1/sqrt(n) gives
     middle = fits.where("letters >= 100").groupBy("lang").agg(F.percentile_approx("h", 0.5).alias("mid"), F.percentile_approx("h", 0.999).alias("top"), F.stddev("h").alias("sd")).collect()
     for r in middle:
@@ -323,7 +323,7 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch[0].slice(i, j - i), pa.array(names[best], pa.string()), pa.array(score), pa.array(good)], names=["doc_id", "lang_pred", "score", "accepted"])
 
     cols = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
-    return docs.select(*cols).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return docs.select(*cols).mapInArrow(trimmed(run), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def keep_known(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
@@ -337,4 +337,4 @@ def keep_known(docs: DataFrame, models: Models, text_col: str = "text") -> DataF
             if mask:
                 yield batch.filter(pa.array(np.concatenate(mask)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

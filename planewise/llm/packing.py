@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewise.llm.common import pairs_of, shuffle_partitions
+from planewise.llm.common import pairs_of, shuffle_partitions, trimmed
 
 PIECES = "grp long, doc_id long, start long, doc_tokens long, ids binary"
 PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -259,6 +259,6 @@ def pack_documents(
             yield from out(now, held)
 
     grp = F.pmod(F.xxhash64(F.lit("pack"), "doc_id"), F.lit(groups)).alias("grp")
-    cut = pairs_of(docs, id_col, text_col).select(grp, "doc_id", "text").mapInArrow(pieces, PIECES)
+    cut = pairs_of(docs, id_col, text_col).select(grp, "doc_id", "text").mapInArrow(trimmed(pieces), PIECES)
     n = min(groups, shuffle_partitions(spark))
-    return cut.repartition(n, "grp").sortWithinPartitions("grp", "doc_id", "start", "ids").mapInArrow(packed, PACKED)
+    return cut.repartition(n, "grp").sortWithinPartitions("grp", "doc_id", "start", "ids").mapInArrow(trimmed(packed), PACKED)
