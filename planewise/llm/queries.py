@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planewise.llm import fingerprint, html_text, langid, ngram_join, packing, quality, rules, sharding, spm, substring
-from planewise.llm.common import fold
+from planewise.llm.common import fold, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -17,6 +17,7 @@ SHARD_BYTES = 64 << 20
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,9 +57,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(PIECES)
-    back = spm.decode_documents(spm.encode_documents(_table(spark, sf_dir, "documents"), path), path, compare=True)
-    return back.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "chunks", "exact")
+    coded = spm.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), compare=True)
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "chunks", "exact")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,17 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewise.llm.common import pairs_of, shuffle_partitions
+from planewise.llm.common import pairs_of, shuffle_partitions, trimmed
 
 SPACE = "▁"
 #: Stands for a literal U+2581 of the text; valid text has no lone surrogates.
 _LITERAL = "\udc81"
 CHUNK = 1 << 16
 ENCODED = "doc_id long, text string, ids binary, chunks long"
+COMPARED = "doc_id long, ids binary, chunks long, exact boolean"
 
 
 class Vocabulary:
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -234,16 +235,22 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def _small(docs: DataFrame, path: str, chunk: int) -> DataFrame:
+def _small(docs: DataFrame, path: str, chunk: int, compare: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                ids = [v.encode(t or "") for t in part[1].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part[0], part[1], pa.array(ids, pa.binary()), pa.array([1] * len(ids), pa.int64())], names=["doc_id", "text", "ids", "chunks"])
+                texts = [t or "" for t in part[1].to_pylist()]
+                ids = [v.encode(t) for t in texts]
+                coded, ones = pa.array(ids, pa.binary()), pa.array([1] * len(ids), pa.int64())
+                if compare:
+                    exact = [v.decode(b) == t for b, t in zip(ids, texts, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part[0], coded, ones, pa.array(exact, pa.bool_())], names=["doc_id", "ids", "chunks", "exact"])
+                else:
+                    yield pa.RecordBatch.from_arrays([part[0], part[1], coded, ones], names=["doc_id", "text", "ids", "chunks"])
 
-    return docs.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(run, ENCODED)
+    return docs.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(trimmed(run), COMPARED if compare else ENCODED)
 
 
 def _giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
@@ -279,22 +286,28 @@ def _giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["k"], batch["row"], batch["no"], pa.array(ids, pa.binary())], names=["k", "row", "no", "ids"])
 
     n = shuffle_partitions(docs.sparkSession)
-    chunks = giant.select("k", "row", "text").mapInArrow(split, "k long, row long, no long, n long, signs binary").repartition(n, "k", "row", "no")
-    states = chunks.mapInArrow(matrices, "k long, row long, no long, matrix binary").groupBy("k", "row").applyInArrow(scan, "k long, row long, no long, entry long, leave long")
-    traced = chunks.join(states, ["k", "row", "no"]).mapInArrow(trace, "k long, row long, no long, ids binary")
+    chunks = giant.select("k", "row", "text").mapInArrow(trimmed(split), "k long, row long, no long, n long, signs binary").repartition(n, "k", "row", "no")
+    states = chunks.mapInArrow(trimmed(matrices), "k long, row long, no long, matrix binary").groupBy("k", "row").applyInArrow(scan, "k long, row long, no long, entry long, leave long")
+    traced = chunks.join(states, ["k", "row", "no"]).mapInArrow(trimmed(trace), "k long, row long, no long, ids binary")
     joined = traced.groupBy("k", "row").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     whole = joined.select("k", "row", F.concat_ws("", F.transform("parts", lambda x: F.hex(x["ids"]))).alias("hex"), F.size("parts").cast("long").alias("chunks"))
     return giant.join(whole, ["k", "row"]).select("doc_id", "text", F.unhex("hex").alias("ids"), "chunks")
 
 
-def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, text, ids, chunks): ids as unsigned little-endian 32-bit numbers."""
+def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, compare: bool = False) -> DataFrame:
+    """(doc_id, text, ids, chunks): ids as unsigned little-endian 32-bit numbers.
+
+    With ``compare`` the ids are decoded again at once and ``exact`` tells whether they give the text, which then stays out.
+    """
     rows = pairs_of(docs, id_col, text_col)
-    return _small(rows, model_path, chunk).union(_giant(rows, model_path, chunk))
+    giant = _giant(rows, model_path, chunk)
+    if compare:
+        giant = decode_documents(giant, model_path).select("doc_id", "ids", "chunks", (F.col("decoded") == F.col("text")).alias("exact"))
+    return _small(rows, model_path, chunk, compare).union(giant)
 
 
-def decode_documents(encoded: DataFrame, model_path: str, *, compare: bool = False) -> DataFrame:
-    """``encoded`` with column ``decoded``; with ``compare`` the texts stay out and ``exact`` tells whether they are equal."""
+def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
+    """``encoded`` with column ``decoded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
@@ -302,10 +315,6 @@ def decode_documents(encoded: DataFrame, model_path: str, *, compare: bool = Fal
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 texts = [v.decode(b) for b in part["ids"].to_pylist()]
-                if compare:
-                    exact = [t == (o or "") for t, o in zip(texts, part["text"].to_pylist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], part["chunks"], pa.array(exact, pa.bool_())], names=["doc_id", "ids", "chunks", "exact"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, "doc_id long, ids binary, chunks long, exact boolean" if compare else f"{ENCODED}, decoded string")
+    return encoded.mapInArrow(trimmed(run), f"{ENCODED}, decoded string")
