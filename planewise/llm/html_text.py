@@ -4,7 +4,7 @@ Each page is read once by a tolerant tag scanner into text blocks and container
 element's subtree hash covers its tag, its text and its children's hashes (attributes aside).  Spark
 counts on how many pages of a host each subtree occurs; subtrees on ``least_pages`` pages or more (text
 blocks: ``least_block_pages``) are site template, and their blocks are deleted.  Parts whose tag, role or class names
-them as furniture go at once.  Where a page marks its article (``article``, else ``main``), only blocks in
+them as furniture go too, which matters on hosts of few pages.  Where a page marks its article (``article``, else ``main``), only blocks in
 it are text, and its paragraphs and headings are never counted: an article may quote what others quote.
 
 Between the two passes a page travels as its compressed blocks; the hashes that recur come back to it
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewise.llm.common import written
+from planewise.llm.common import trimmed, written
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,8 +35,11 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption caption td th address summary".split())
 CONTAINERS = frozenset("html body div section article main aside nav header footer form ul ol dl table thead tbody tfoot tr figure fieldset details menu dialog hgroup search".split())
 BLOCKS = TEXT_BLOCKS | CONTAINERS
-#: Never text; ``header`` is furniture outside an article only.
-DROPPED = frozenset("head script style noscript template nav footer aside form iframe svg math object audio video canvas button select textarea title datalist menu dialog noembed noframes xmp search".split())
+#: Not text at all.
+SILENT = frozenset("head script style noscript template iframe svg math object audio video canvas button select textarea title datalist noembed noframes xmp".split())
+#: Furniture by name; ``header`` only outside an article.
+FURNITURE = frozenset("nav footer aside form menu dialog search".split())
+DROPPED = SILENT | FURNITURE
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs "
@@ -53,7 +56,7 @@ _WORD = re.compile(r"[a-z]+")
 
 
 def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not in_article:
+    if tag in FURNITURE or tag == "header" and not in_article:
         return True
     if not attrs or attrs.isspace() or tag in ("html", "body", "article", "main") and "hidden" not in attrs and "comment" not in attrs:
         return False
@@ -71,18 +74,18 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 class _Element:
-    __slots__ = ("tag", "first", "parts", "gone", "article", "main")
+    __slots__ = ("tag", "first", "parts", "silent", "named", "article", "main")
 
-    def __init__(self, tag: str, first: int, gone: bool, article: bool, main: bool):
-        self.tag, self.first, self.gone, self.article, self.main = tag, first, gone, article, main
+    def __init__(self, tag: str, first: int, silent: bool, named: bool, article: bool, main: bool):
+        self.tag, self.first, self.silent, self.named, self.article, self.main = tag, first, silent, named, article, main
         self.parts: list[str] = []
 
 
 def scan(page: str) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
-    """(blocks, subtrees): the blocks of text that can be kept, and of each counted element its hash, its blocks' range and whether it is a text block."""
-    blocks: list[tuple[str, bool, bool]] = []
+    """(blocks, subtrees): the page's blocks, empty where they are furniture by name or outside the article, and of each counted element its hash, its blocks' range and whether it is a text block."""
+    blocks: list[tuple[str, bool, bool, bool]] = []
     subtrees: list[tuple[int, int, int, bool]] = []
-    stack = [_Element("", 0, False, False, False)]
+    stack = [_Element("", 0, False, False, False, False)]
     text: list[str] = []
 
     def flush() -> None:
@@ -92,8 +95,8 @@ def scan(page: str) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
             text.clear()
             if line:
                 top.parts.append(line)
-                if not top.gone:
-                    blocks.append((line, top.article, top.main))
+                if not top.silent:
+                    blocks.append((line, top.article, top.main, top.named))
 
     def close() -> None:
         flush()
@@ -101,7 +104,7 @@ def scan(page: str) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
         up = stack[-1]
         digest = xxhash.xxh64_intdigest("\x00".join([e.tag, *e.parts]).encode("utf-8", "surrogatepass"))
         up.parts.append(f"<{digest:x}")
-        if not e.gone and len(blocks) > e.first and not (e.tag in TEXT_BLOCKS and (e.article or e.main)) and e.tag not in ("html", "body", "article", "main"):
+        if len(blocks) > e.first and not (e.tag in TEXT_BLOCKS and (e.article or e.main)) and e.tag not in ("html", "body", "article", "main"):
             subtrees.append((digest - (1 << 64) if digest >> 63 else digest, e.first, len(blocks), e.tag in TEXT_BLOCKS))
 
     at, size = 0, len(page)
@@ -134,7 +137,7 @@ def scan(page: str) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
         if tag not in BLOCKS and tag not in DROPPED and not (m[3] and ("hidden" in m[3] or "display" in m[3])):
             continue  # inline: its text belongs to the block around it
         top = stack[-1]
-        gone = top.gone or _furniture(tag, m[3], top.article or top.main)
+        named = top.named or _furniture(tag, m[3], top.article or top.main)
         if tag in RAW:  # no markup inside
             end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
@@ -151,28 +154,21 @@ def scan(page: str) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
                         break
             if stack[-1].tag == "p":
                 close()
-        elif gone:
-            flush() if tag == "head" else None
+        elif tag == "head":
+            flush()
         if not m[4]:
             top = stack[-1]
-            stack.append(_Element(tag, len(blocks), top.gone or gone, top.article or tag == "article", top.main or tag == "main"))
+            stack.append(_Element(tag, len(blocks), top.silent or tag in SILENT, named, top.article or tag == "article", top.main or tag == "main"))
     flush()
     while len(stack) > 1:
         close()
-    for place in (1, 2):
-        if any(b[place] for b in blocks):
-            keep = [b[place] for b in blocks]
-            break
-    else:
-        keep = [True] * len(blocks)
-    new = [0]
-    for k in keep:
-        new.append(new[-1] + k)
-    return [b[0] for b, k in zip(blocks, keep, strict=True) if k], [(d, new[a], new[z], t) for d, a, z, t in subtrees if new[z] > new[a]]
+    own = [b for b in blocks if not b[3]]
+    place = next((p for p in (1, 2) if any(b[p] for b in own)), 0)  # the article, else the main part, else everything
+    return ["" if named or place and not (article, main)[place - 1] else line for line, article, main, named in blocks], subtrees
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, least_block_pages: int = 10) -> DataFrame:
-    """(page_id, url, text, removed) of every page; ``removed`` counts the blocks deleted as site template."""
+    """(page_id, url, text, removed) of every page; ``removed`` counts the blocks found to be site template."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.select("page_id", "url", F.xxhash64("page_id", "url", "html").alias("k"), host.alias("host"), "html")
@@ -195,14 +191,14 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
             for packed, hits in zip(batch[2].to_pylist(), batch[3].to_pylist(), strict=True):
                 blocks, subtrees = json.loads(zlib.decompress(packed))
                 gone = {i for d, a, z, _ in subtrees if hits and d in hits for i in range(a, z)}
-                texts.append("\n".join(b for i, b in enumerate(blocks) if i not in gone))
+                texts.append("\n".join(b for i, b in enumerate(blocks) if b and i not in gone))
                 removed.append(len(gone))
             yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["page_id", "url", "text", "removed"])
 
-    parsed = rows.mapInArrow(parse, "page_id long, url string, k long, host string, packed binary, found array<struct<digest:long,block:boolean>>")
+    parsed = rows.mapInArrow(trimmed(parse), "page_id long, url string, k long, host string, packed binary, found array<struct<digest:long,block:boolean>>")
     # pages are scanned twice: that costs less than keeping their blocks
     seen = written(parsed.select("k", "host", F.inline("found")), "subtrees")
     often = seen.groupBy("host", "digest", "block").agg(F.count("*").alias("pages"))
     often = often.where(F.col("pages") >= F.when(F.col("block"), F.lit(least_block_pages)).otherwise(F.lit(least_pages))).drop("pages")
     hits = seen.join(often, ["host", "digest", "block"]).groupBy("k").agg(F.collect_set("digest").alias("hits"))
-    return parsed.select("page_id", "url", "k", "packed").join(hits, "k", "left").select("page_id", "url", "packed", "hits").mapInArrow(cut, "page_id long, url string, text string, removed long")
+    return parsed.select("page_id", "url", "k", "packed").join(hits, "k", "left").select("page_id", "url", "packed", "hits").mapInArrow(trimmed(cut), "page_id long, url string, text string, removed long")
