@@ -30,6 +30,10 @@ class Chunking:
     loose_bits: int = 4
     at_words: bool = False
 
+    def __post_init__(self) -> None:
+        if self.least < WINDOW:
+            raise ValueError("chunks must not be shorter than the window: their ends would depend on the document before")
+
     def ends(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ends, documents) of all chunks; a chunk starts where the last one ended.  Places depend on no byte outside the document."""
         h = gear(s.buf, _GEAR, DOUBLINGS)

@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planewise.llm.chunking import Chunking
-from planewise.llm.common import shuffle_partitions
+from planewise.llm.common import shuffle_partitions, trimmed
 from planewise.llm.textbuf import each_slice
 
-CHUNKS = Chunking(least=24, normal=40, most=256, strict_bits=3, loose_bits=1, at_words=True)
+#: Small chunks, so that passages of fifty words hold several whatever their ends are cut to.
+CHUNKS = Chunking(least=16, normal=20, most=160, strict_bits=2, loose_bits=1, at_words=True)
 _POST = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("hash", "<i4"), ("at", "<u4")])
-_FLUSH = 1 << 20
+_FLUSH = 1 << 19
 _FIRST = -(1 << 63)
 
 
@@ -106,9 +107,9 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, chunking: Chunk
     import pyarrow.compute  # noqa: F401  for pa.compute on the executors
 
     schema = "part int, post binary, k long, h int, at binary"
-    posts = _keyed(docs, id_col, text_col).select("k", "h", "text").mapInArrow(post, schema)
+    posts = _keyed(docs, id_col, text_col).select("k", "h", "text").mapInArrow(trimmed(post), schema)
     # marks travel to a partition by their document, posts by their bucket
-    met = posts.repartition(shuffle_partitions(spark), F.coalesce("part", F.hash("k"))).sortWithinPartitions("part").mapInArrow(meet, schema)
+    met = posts.repartition(shuffle_partitions(spark), F.coalesce("part", F.hash("k"))).sortWithinPartitions("part").mapInArrow(trimmed(meet), schema)
     return met.groupBy("k", "h").agg(F.collect_list("at").alias("ats"))
 
 
@@ -116,7 +117,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("k"), F.hash(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_run: int = 96, chunking: Chunking = CHUNKS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_run: int = 64, chunking: Chunking = CHUNKS) -> DataFrame:
     """The rows of ``docs`` with repeated runs deleted from their texts, and a column ``removed_spans``.
 
     ``removed_spans`` lists what was deleted as (start, length) in code points of the old text.
@@ -161,6 +162,6 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(texts, pa.string()), pa.array(out, kind)], names=["row", "t", "removed_spans"])
 
     row = packed.schema["row"].dataType.simpleString()
-    done = joined.mapInArrow(cut, f"row {row}, t string, removed_spans array<struct<start:long,length:long>>")
+    done = joined.mapInArrow(trimmed(cut), f"row {row}, t string, removed_spans array<struct<start:long,length:long>>")
     kept = [F.col("t").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names]
     return done.select(*kept, "removed_spans")
