@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewise.llm.common import remove, written
+from planewise.llm.common import remove, trimmed, written
 
 _LOCAL_EDGES = 500_000
 
@@ -61,10 +61,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v): every node but the smallest of its component, with that smallest node.
 
-    A union-find over bounded blocks of edges shortens the paths, then large-star and small-star
-    alternate until nothing changes; each round is a written table.
+    A union-find over blocks of at most ``_LOCAL_EDGES`` edges leaves a forest of each. The forests of
+    several blocks are joined by alternating large-star and small-star until nothing changes; each
+    round is a written table.
     """
-    now = written(edges.select("u", "v").where("u != v").mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    given = written(edges.select("u", "v").where("u != v"), "edges")
+    blocks = -(-given.count() // _LOCAL_EDGES) or 1
+    dealt = given.repartition(blocks, "u") if blocks > 1 else given.repartition(1)
+    now = written(dealt.mapInArrow(trimmed(_forest), "u long, v long"), "edges")
+    remove(given)
+    if blocks == 1:
+        return now
     sums = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     mark = sums(now)
     while mark[0]:

@@ -11,8 +11,10 @@ of the larger have a key in common, which gives the plan:
    candidates, if sizes and places in the sets allow a link; so are neighbours inside a group.
 3. Candidates are verified on their whole sets, and links give components.
 4. Keys that more than three groups share may hide links between groups that were not neighbours.
-   Such pairs matter only between *different* components: these are listed (components first, then
-   their members), expanded to classes, verified, and merged.
+   Such pairs matter only between *different* components. Two rounds try neighbours in random orders,
+   which joins nearly all that belong together; then every pair left between different components
+   that share a key is listed (components first, then their members), expanded to classes and
+   verified.
 
 So no link between unlike texts is lost, and copies or near copies are never paired all with all.
 
@@ -29,12 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from planewise.llm.common import remove, shuffle_partitions, written
+from planewise.llm.common import remove, shuffle_partitions, trimmed, written
 from planewise.llm.components import connected_components
 from planewise.llm.textbuf import U64, Slice, each_slice, mix, window_hashes
 
@@ -43,7 +44,11 @@ _FIRST = -(1 << 63)
 SKETCH_BITS = 22
 _BLOCK = 1 << 16
 #: Bits of the filter of candidate classes, at most.
-FILTER_BITS = 26
+FILTER_BITS = 28
+#: Rounds of random neighbours, and how many places apart they are at most.
+_ROUNDS, _NEIGHBOURS = 2, 6
+#: Postings of one key that are compared with each other at a time.
+_PAIR_BLOCK = 1024
 _POST = np.dtype([("key", "<u8"), ("grp", "<i8"), ("n", "<u4"), ("at", "<u2")])
 
 
@@ -58,14 +63,23 @@ def shingles(s: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
     if len(few):
         first = np.searchsorted(doc, few)
         whole = np.array([hash_sequence(h[a : a + words[k]]) for a, k in zip(first, few, strict=True)], U64)
-        g, d = np.concatenate([g, whole]), np.concatenate([d, few])
-    order = np.lexsort((g, d))
-    g, d = g[order], d[order]
+        at = np.searchsorted(d, few)
+        g, d = np.insert(g, at, whole), np.insert(d, at, few)
+    g = sorted_by_doc(g, d, s.n)
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
     return g[new], d[new]
 
 
+def sorted_by_doc(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Values sorted inside each document; ``doc`` ascends."""
+    out = values.copy()
+    edge = np.searchsorted(doc, np.arange(n + 1)).tolist()
+    for a, z in zip(edge[:-1], edge[1:], strict=True):
+        out[a:z].sort()
+    return out
+
+
 def hash_sequence(h: np.ndarray) -> int:
     out = U64(len(h))
     with np.errstate(over="ignore"):
@@ -86,34 +100,33 @@ def _digest(keys: np.ndarray, doc: np.ndarray, n: int, salt: int) -> np.ndarray:
 
 
 class Order:
-    """The global order of shingles: by frequency class, then by hash; one 64-bit key each."""
+    """The global order of shingles: by frequency class (8 bits), then by hash; one 64-bit key each."""
 
     def __init__(self, ranks: np.ndarray):
         self.ranks = ranks
 
     def sets(self, s: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
         g, d = shingles(s, size)
-        keys = (self.ranks[g >> U64(64 - SKETCH_BITS)].astype(U64) << U64(58)) | (mix(g) >> U64(6))
-        order = np.lexsort((keys, d))
-        return keys[order], d[order]
+        keys = (self.ranks[g >> U64(64 - SKETCH_BITS)].astype(U64) << U64(56)) | (mix(g) >> U64(8))
+        return sorted_by_doc(keys, d, s.n), d
 
 
 def frequency_order(texts: DataFrame, size: int) -> Order:
-    """Count all shingles of all documents into a sketch of fixed size; classes are half octaves above the mean load."""
+    """Count all shingles of all documents into a sketch of fixed size.
+
+    A counter holds the mean load of rare shingles, spread by its root, and the frequent ones that fall into it.
+    Classes are quarters of that spread about the mean, and quarter octaves far above it: a shingle of a few documents
+    more already stands behind most of those of one, whatever the corpus.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        held: list[np.ndarray] = []
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        one = np.uint32(1)
         for batch in batches:
             for _, _, s in each_slice(batch[0], lower=True):
-                held.append((shingles(s, size)[0] >> U64(64 - SKETCH_BITS)).astype(np.int64))
-                if sum(map(len, held)) > 1 << 22:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held = []
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
+                np.add.at(total, shingles(s, size)[0] >> U64(64 - SKETCH_BITS), one)
         if total.any():
-            blobs = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in total.reshape(-1, _BLOCK)]
+            blobs = [zlib.compress(x.tobytes(), 1) for x in total.reshape(-1, _BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +140,12 @@ def frequency_order(texts: DataFrame, size: int) -> Order:
     kind = "block int, counts binary"
     parts = min(64, shuffle_partitions(texts.sparkSession))
     load = np.zeros(1 << SKETCH_BITS)
-    for r in texts.mapInArrow(count, kind).repartition(parts, "block").mapInArrow(add, kind).toLocalIterator():
+    for r in texts.mapInArrow(trimmed(count), kind).repartition(parts, "block").mapInArrow(trimmed(add), kind).collect():
         load[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(zlib.decompress(r["counts"]), "<u8")
     mean = max(1.0, load.mean())
-    return Order(np.clip(np.floor(2 * np.log2(np.maximum(load, 1) / mean)), 0, 63).astype(np.uint8))
+    z = (load - mean) / np.sqrt(mean)
+    fine, coarse = np.floor(4 * z) + 32, 127 + 4 * np.log2(np.maximum(z / 24, 1))
+    return Order(np.clip(np.where(z < 24, fine, coarse), 0, 255).astype(np.uint8))
 
 
 def probe_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -186,7 +201,7 @@ class NgramJoin:
                     blobs = [x.tobytes() for x in np.split(keys[head], cut)]
                     yield pa.RecordBatch.from_arrays([batch[0].slice(i, j - i), pa.array(n, pa.int64()), pa.array(cls), pa.array(grp), pa.array(blobs, pa.binary())], names=["k", "n", "cls", "grp", "prefix"])
 
-        return self.rows.mapInArrow(run, "k long, n long, cls long, grp long, prefix binary")
+        return self.rows.mapInArrow(trimmed(run), "k long, n long, cls long, grp long, prefix binary")
 
     def _candidates(self, table: DataFrame) -> DataFrame:
         """Rows (u, v): neighbouring groups under a key; rows (run): packed postings of keys with over three groups."""
@@ -248,17 +263,19 @@ class NgramJoin:
             if held:
                 yield from solve(held)
 
-        posts = table.where("n > 0").select("n", "grp", "prefix").mapInArrow(post, "part int, posts binary")
+        posts = table.where("n > 0").select("n", "grp", "prefix").mapInArrow(trimmed(post), "part int, posts binary")
         met = posts.repartition(shuffle_partitions(self.spark), "part").sortWithinPartitions("part")
-        return met.mapInArrow(meet, "u long, v long, run binary")
+        return met.mapInArrow(trimmed(meet), "u long, v long, run binary")
 
     # -- verification --------------------------------------------------------------------------
 
     def _sets_of(self, classes: DataFrame) -> DataFrame:
-        """(cls, keys) of the wanted classes (cls, k): recomputed from the texts, picked by a bit filter of bounded size, then exactly."""
+        """(cls, keys) of the wanted classes (k, cls), recomputed from the texts and written.
+
+        They are picked by a bit filter of bounded size, so some others come along: those join with nothing.
+        """
         order, size = self.order, self.size
-        count = classes.count()
-        bits = min(FILTER_BITS, max(16, (16 * count).bit_length()))
+        bits = min(FILTER_BITS, max(16, (256 * classes.count()).bit_length()))
 
         def place(k: np.ndarray, cls: np.ndarray) -> np.ndarray:
             return (mix(cls.view(U64) ^ mix(k.view(U64))) >> U64(64 - bits)).astype(np.int64)
@@ -281,27 +298,26 @@ class NgramJoin:
 
         kind = "block int, flags binary"
         packed = np.zeros((16, (1 << bits) // 128), np.uint8)
-        for r in classes.select("k", "cls").mapInArrow(flags, kind).repartition(16, "block").mapInArrow(unite, kind).toLocalIterator():
+        for r in classes.select("k", "cls").mapInArrow(trimmed(flags), kind).repartition(16, "block").mapInArrow(trimmed(unite), kind).collect():
             packed[r["block"]] = np.frombuffer(zlib.decompress(r["flags"]), np.uint8)
         squeezed = zlib.compress(packed.tobytes(), 1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wanted = np.unpackbits(np.frombuffer(zlib.decompress(squeezed), np.uint8)).view(bool)
+            wanted = np.frombuffer(zlib.decompress(squeezed), np.uint8)
             for batch in batches:
                 k = np.array(batch[0].to_pylist(), np.int64)
                 for i, j, s in each_slice(batch[1], lower=True):
                     keys, doc = order.sets(s, size)
                     cls = _digest(keys, doc, s.n, 1)
                     first = np.searchsorted(doc, np.arange(s.n + 1))
-                    take = np.flatnonzero(wanted[place(k[i:j], cls)] & (np.diff(first) > 0))
+                    at = place(k[i:j], cls)
+                    take = np.flatnonzero((wanted[at >> 3] << (at & 7).astype(np.uint8) & 128).astype(bool) & (np.diff(first) > 0))
                     if len(take):
                         # 48 bits of a key's hash are enough within one pair of sets
                         blobs = [np.ascontiguousarray(keys[first[t] : first[t + 1]].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for t in take]
-                        yield pa.RecordBatch.from_arrays([pa.array(k[i:j][take]), pa.array(cls[take]), pa.array(blobs, pa.binary())], names=["k", "cls", "keys"])
+                        yield pa.RecordBatch.from_arrays([pa.array(cls[take]), pa.array(blobs, pa.binary())], names=["cls", "keys"])
 
-        sets = self.rows.mapInArrow(run, "k long, cls long, keys binary")
-        exact = sets.join(classes.select("k", "cls"), ["k", "cls"], "left_semi").dropDuplicates(["cls"])
-        return exact.select("cls", "keys")
+        return written(self.rows.mapInArrow(trimmed(run), "cls long, keys binary"), "sets")
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (u, v) of classes that link."""
@@ -318,75 +334,168 @@ class NgramJoin:
                 yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
         left = pairs.join(sets.toDF("u", "a"), "u")
-        return left.join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+        return left.join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(trimmed(run), "u long, v long")
 
     # -- the whole ---------------------------------------------------------------------------
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(documents: k, n, cls; stars: u, v) with classes as nodes."""
         self.order = frequency_order(self.rows.select("text"), self.size)
-        table = written(self._classes(), "classes")
-        full = table.where("n > 0")
-        classes = written(full.groupBy("cls").agg(F.min("k").alias("k"), F.min("grp").alias("grp")), "members")
-        found = written(self._candidates(table), "candidates")
-
-        # first round: neighbours, between groups by their first classes, and inside each group
+        wide = written(self._classes(), "prefixes")
+        table = written(wide.select("k", "n", "cls", "grp"), "classes")
+        classes = written(table.where("n > 0").groupBy("cls").agg(F.min("k").alias("k"), F.min("grp").alias("grp")), "members")
+        found = written(self._candidates(wide), "candidates")
+        remove(wide)
+        near = written(found.where("u IS NOT NULL").select("u", "v").distinct(), "near")
+        runs = written(found.where("run IS NOT NULL").select("run").mapInArrow(trimmed(_unpacked), "key long, grp long, n long, at long"), "runs")
+        remove(found)
+
+        # neighbours: between groups by their first classes, and inside each group
         reps = classes.groupBy("grp").agg(F.min("cls").alias("cls"))
-        near = found.where("u IS NOT NULL").select("u", "v").distinct()
         first = near.join(reps.toDF("u", "a"), "u").join(reps.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
         inside = classes.withColumn("v", F.lead("cls").over(Window.partitionBy("grp").orderBy("cls"))).where("v IS NOT NULL").select(F.col("cls").alias("u"), "v")
-        tried = written(first.union(inside).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "tried")
-        wanted = lambda pairs: classes.join(pairs.select("u").union(pairs.select("v")).toDF("cls").distinct(), "cls", "left_semi").select("k", "cls")
-        sets = written(self._sets_of(wanted(tried)), "sets")
-        links = written(self._verified(tried, sets), "links")
+        tried = written(_ordered(first.union(inside)).distinct(), "tried")
+        sets = self._sets_of(self._of(classes, "cls", tried.select("u").union(tried.select("v"))))
+        stars = connected_components(self._verified(tried, sets))
         remove(sets)
-        stars = connected_components(links)
-
-        # second round: between components that share a key or a group
-        node = classes.join(stars.toDF("cls", "root"), "cls", "left").select("grp", "cls", F.coalesce("root", "cls").alias("comp"))
-        cells = written(node.groupBy("grp", "comp").agg(F.count("*").alias("members")), "cells")
-        rest = self._hidden(found, cells, node, tried)
-        more = written(rest, "hidden")
-        if more.count():
-            sets = written(self._sets_of(wanted(more)), "sets")
-            links = written(links.union(self._verified(more, sets)), "links")
-            remove(sets)
-            stars = connected_components(links)
-        for x in (tried, cells, more, found):
+
+        # what may still hide a link: groups that share a key across components, and groups of several classes with their neighbours
+        cells, posts = self._mixed(runs, classes, stars)
+        several = classes.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1").select("grp")
+        beside = near.toDF("ga", "gb")
+        beside = beside.join(several.toDF("ga"), "ga", "left_semi").select("ga", "gb").union(beside.join(several.toDF("gb"), "gb", "left_semi").select("ga", "gb"))
+        beside = written(beside.union(several.select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))).distinct(), "beside")
+        open_ = written(self._across(posts, pairs=False).distinct(), "open")
+        runs = written(runs.join(open_, "grp", "left_semi").select("key", "grp", "n", "at"), "runs")
+        posts = posts.join(open_, "grp", "left_semi").select(*posts.columns)
+        sets = self._sets_of(self._of(classes, "grp", open_.select("grp").union(beside.select("ga")).union(beside.select("gb"))))
+        for turn in range(_ROUNDS):
+            pairs = _ordered(self._random_neighbours(posts, turn).join(cells.toDF("ga", "ca", "u"), ["ga", "ca"]).join(cells.toDF("gb", "cb", "v"), ["gb", "cb"])).distinct()
+            more = written(pairs.join(tried, ["u", "v"], "left_anti"), "tried")
+            stars = self._merged(stars, more, sets)
+            tried = written(tried.union(more), "tried")
+            cells, posts = self._mixed(runs, classes, stars)
+        rest = written(self._remaining(beside, posts, cells, classes, stars).join(tried, ["u", "v"], "left_anti"), "rest")
+        stars = self._merged(stars, rest, sets)
+        for x in (tried, rest, posts, sets, runs, near, beside):
             remove(x)
-        self.links_table = links
         return table, stars
 
-    def _hidden(self, found: DataFrame, cells: DataFrame, node: DataFrame, tried: DataFrame) -> DataFrame:
-        """Pairs of classes in different components that may link and were not tried."""
-        percent = self.percent
+    @staticmethod
+    def _of(classes: DataFrame, column: str, values: DataFrame) -> DataFrame:
+        return classes.join(values.toDF(column).distinct(), column, "left_semi").select("k", "cls")
 
-        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for blob in batch[0].to_pylist():
-                    x = np.frombuffer(blob, _POST)
-                    yield pa.RecordBatch.from_arrays([pa.array(x["key"].view(np.int64)), pa.array(x["grp"]), pa.array(x["n"].astype(np.int64)), pa.array(x["at"].astype(np.int64))], names=["key", "grp", "n", "at"])
+    def _merged(self, stars: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        return connected_components(stars.union(self._verified(pairs, sets)))
+
+    @staticmethod
+    def _labelled(classes: DataFrame, stars: DataFrame) -> DataFrame:
+        return classes.join(stars.toDF("cls", "root"), "cls", "left").select("grp", "cls", F.coalesce("root", "cls").alias("comp"))
 
-        runs = found.where("run IS NOT NULL").select("run").mapInArrow(unpack, "key long, grp long, n long, at long")
+    def _mixed(self, runs: DataFrame, classes: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Cells (grp, comp, cls: the first member), and the postings (key, grp, n, at, comp, held) of keys that different components hold."""
+        cells = written(self._labelled(classes, stars).groupBy("grp", "comp").agg(F.min("cls").alias("cls")), "cells")
         posts = runs.join(cells.select("grp", "comp"), "grp")
-        mixed = posts.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-        posts = written(posts.join(mixed, "key", "left_semi"), "mixed")
-        comps = posts.select("key", "comp").distinct()
-        cross = comps.toDF("key", "ca").join(comps.toDF("key", "cb"), "key").where("ca < cb")
-        a = posts.select("grp", "key", "n", "at", "comp").toDF("ga", "key", "na", "pa", "ca")
-        b = posts.select("grp", "key", "n", "at", "comp").toDF("gb", "key", "nb", "pb", "cb")
-        pairs = cross.join(a, ["key", "ca"]).join(b, ["key", "cb"])
-        small, large = F.least("na", "nb"), F.greatest("na", "nb")
-        share = (100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= percent * (F.col("na") + F.col("nb"))
-        pairs = pairs.where((100 * small >= percent * large) & share & (F.col("ga") != F.col("gb"))).select("ga", "ca", "gb", "cb")
-        # neighbours with members in several components, and such members of one group
-        near = found.where("u IS NOT NULL").select(F.col("u").alias("ga"), F.col("v").alias("gb")).distinct()
-        several = cells.groupBy("grp").agg(F.count("*").alias("comps")).where("comps > 1").select("grp")
-        split = near.join(several.toDF("ga"), "ga", "left_semi").union(near.join(several.toDF("gb"), "gb", "left_semi").select("ga", "gb")).union(several.select(F.col("grp").alias("ga"), F.col("grp").alias("gb")))
-        split = split.join(cells.select("grp", "comp").toDF("ga", "ca"), "ga").join(cells.select("grp", "comp").toDF("gb", "cb"), "gb").where("ca != cb").select("ga", "ca", "gb", "cb")
-        whole = pairs.union(split).distinct()
-        expanded = whole.join(node.toDF("ga", "x", "ca"), ["ga", "ca"]).join(node.toDF("gb", "y", "cb"), ["gb", "cb"])
-        return expanded.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+        keys = posts.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).where("lo != hi").select("key", "held")
+        return cells, written(posts.join(keys, "key").select("key", "grp", "n", "at", "comp", "held"), "mixed")
+
+    def _possible_columns(self, a: tuple[str, str], b: tuple[str, str]) -> Column:
+        """Sizes and places of two postings that allow a link."""
+        (an, aa), (bn, ba) = ((F.col(n), F.col(at)) for n, at in (a, b))
+        left = F.least(an - aa, bn - ba)
+        return (100 * F.least(an, bn) >= self.percent * F.greatest(an, bn)) & ((100 + self.percent) * left >= self.percent * (an + bn))
+
+    def _random_neighbours(self, posts: DataFrame, turn: int) -> DataFrame:
+        """(ga, ca, gb, cb): a few places apart in a random order of a key's postings; keys of many postings are dealt out in parts."""
+        h = F.xxhash64(F.lit(turn), "key", "grp")
+        some = posts.withColumn("h", h).withColumn("part", F.pmod("h", F.ceil(F.col("held") / 128).cast("long")))
+        w = Window.partitionBy("key", "part").orderBy("h", "grp", "comp")
+        other = F.struct(F.col("grp").alias("gb"), F.col("comp").alias("cb"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+        after = F.array(*(F.lead(other, k).over(w) for k in range(1, _NEIGHBOURS + 1)))
+        rows = some.select(F.col("grp").alias("ga"), F.col("comp").alias("ca"), "n", "at", after.alias("after"))
+        rows = rows.select("ga", "ca", "n", "at", F.inline(F.filter("after", lambda x: x.isNotNull())))
+        return rows.where((F.col("ca") != F.col("cb")) & self._possible_columns(("n", "at"), ("n2", "at2"))).select("ga", "ca", "gb", "cb").distinct()
+
+    def _across(self, posts: DataFrame, pairs: bool = True) -> DataFrame:
+        """(ga, ca, gb, cb): groups in different components that share a key and may link; without ``pairs`` only the groups (grp) that have such a partner.
+
+        The postings of a key are packed in blocks of a bounded size, and each pair of blocks is one row.  Rows go to
+        tasks by the component that holds most of their key, so the keys that one family of texts shares meet, and a
+        pair that many of them show is listed once.
+        """
+        percent = self.percent
+        home = posts.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("home"))
+        part = F.pmod(F.xxhash64(F.lit("block"), "grp"), F.ceil(F.col("held") / _PAIR_BLOCK).cast("long"))
+        blocks = posts.select("key", part.alias("block"), F.struct("grp", "comp", "n", "at").alias("post")).groupBy("key", "block").agg(F.collect_list("post").alias("posts"))
+        both = blocks.toDF("key", "a", "pa").join(blocks.toDF("key", "b", "pb"), "key").where("a <= b").join(home, "key").select("home", "pa", F.when(F.col("a") != F.col("b"), F.col("pb")).alias("pb"))
+        dealt = both.repartition(shuffle_partitions(self.spark), "home").sortWithinPartitions("home")
+
+        def unpack(lists: pa.Array) -> np.ndarray:
+            flat = lists.as_py()
+            return np.array([(p["grp"], p["comp"], p["n"], p["at"]) for p in flat], np.int64).reshape(-1, 4)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[np.ndarray] = []
+            now = None
+
+            def out() -> Iterator[pa.RecordBatch]:
+                rows = np.unique(np.concatenate(held), axis=0)
+                held.clear()
+                if not pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(rows[:, [0, 2]]))], names=["grp"])
+                elif len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=["ga", "ca", "gb", "cb"])
+
+            for batch in batches:
+                for home, x, y in zip(batch[0].to_pylist(), batch[1], batch[2], strict=True):
+                    if held and (home != now or sum(map(len, held)) > 1 << 20):
+                        yield from out()
+                    now = home
+                    a = unpack(x)
+                    b = unpack(y) if y.is_valid else a
+                    for left, right in [(a[a[:, 1] != home], b)] + ([(b[b[:, 1] != home], a)] if y.is_valid else []):
+                        held.append(_crossing(left, right, percent))
+            if held:
+                yield from out()
+
+        return dealt.mapInArrow(trimmed(run), "ga long, ca long, gb long, cb long" if pairs else "grp long")
+
+    def _remaining(self, beside: DataFrame, posts: DataFrame, cells: DataFrame, classes: DataFrame, stars: DataFrame) -> DataFrame:
+        """(u, v): all pairs of classes in different components that share a key or a group and may link."""
+        pairs = self._across(posts)
+        # groups of several classes, of which neighbours have met the first one only
+        cell = cells.select("grp", "comp")
+        split = beside.join(cell.toDF("ga", "ca"), "ga").join(cell.toDF("gb", "cb"), "gb").where("ca != cb")
+        whole = pairs.select("ga", "ca", "gb", "cb").union(split.select("ga", "ca", "gb", "cb")).distinct()
+        node = self._labelled(classes, stars)
+        both = whole.join(node.toDF("ga", "u", "ca"), ["ga", "ca"]).join(node.toDF("gb", "v", "cb"), ["gb", "cb"])
+        return _ordered(both).distinct()
+
+
+def _crossing(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Rows (ga, ca, gb, cb), ga < gb, of postings (grp, comp, n, at) in different components that may link."""
+    found = [np.zeros((0, 4), np.int64)]
+    for i in range(0, len(left), 256):
+        x, y = left[i : i + 256, None, :], right[None, :, :]
+        an, bn = x[:, :, 2], y[:, :, 2]
+        ok = (x[:, :, 1] != y[:, :, 1]) & (x[:, :, 0] != y[:, :, 0]) & (100 * np.minimum(an, bn) >= percent * np.maximum(an, bn))
+        ok &= (100 + percent) * np.minimum(an - x[:, :, 3], bn - y[:, :, 3]) >= percent * (an + bn)
+        p, q = np.nonzero(ok)
+        one, two = left[i + p][:, :2], right[q][:, :2]
+        swap = (one[:, 0] > two[:, 0])[:, None]
+        found.append(np.concatenate([np.where(swap, two, one), np.where(swap, one, two)], axis=1))
+    return np.concatenate(found)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch[0].to_pylist():
+            x = np.frombuffer(blob, _POST)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["key"]).view(np.int64)), pa.array(x["grp"]), pa.array(x["n"].astype(np.int64)), pa.array(x["at"].astype(np.int64))], names=["key", "grp", "n", "at"])
 
 
 def component_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
