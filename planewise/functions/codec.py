@@ -28,7 +28,7 @@ METHOD_NAMES = ["store", "zstd", "zstd_blocks", "rans", "rans_adaptive", "rans_o
 BLOCK, BLOCKS_FROM = 1 << 20, 4 << 20
 CHUNK = 2 << 20
 #: Thresholds of the candidate gates.
-RANS_GATE, RANS_GAIN, BLOCKS_SLACK, OPAQUE_GATE, FIELDS_SLACK = 0.80, 0.99, 1.01, 0.95, 1.01
+RANS_GATE, RANS_GAIN, RANS_FLAT, BLOCKS_SLACK, OPAQUE_GATE, FIELDS_SLACK = 0.80, 0.99, 0.995, 1.01, 0.95, 1.01
 ORDER1_LENGTH, ORDER1_SYMBOLS = 1 << 16, 64
 SPARSE_SHARE, PALETTE_MOST = 0.10, 256
 EFFORTS = ("fast", "balanced", "max")
@@ -106,7 +106,9 @@ def compress_plane(raw: bytes, level: int = 3, effort: str = "balanced") -> Plan
         if len(blocks) <= BLOCKS_SLACK * len(best.data):
             best = Plane(ZSTD_BLOCKS, blocks, len(raw))
     thorough = effort == "max"
-    if effort != "fast" and (thorough or len(best.data) >= RANS_GATE * order0_bytes(plane)):
+    ideal = order0_bytes(plane) if effort != "fast" else 0.0
+    # a plane of nearly uniform bytes has nothing to gain
+    if effort != "fast" and (thorough or RANS_FLAT * len(raw) > ideal and len(best.data) >= RANS_GATE * ideal):
         need = len(best.data) if thorough else int(len(best.data) * RANS_GAIN)
         coded = rans.encode(plane, rans.ADAPTIVE)
         if len(coded) < need:
