@@ -13,6 +13,36 @@ _GEAR = np.random.default_rng(20240611).integers(0, 1 << 32, 256, dtype=np.uint3
 DOUBLINGS = 4
 #: Bytes that a boundary looks back on.
 WINDOW = 1 << DOUBLINGS
+#: Bytes after the last start of a word from which on code points can start a chunk.
+REACH = 2 * WINDOW
+
+
+def _peaks(s: Slice, h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Flags of bytes that end a chunk far from any start of a word; ``word`` flags bytes before such a start.
+
+    Peaks stand over WINDOW bytes apart but for ties, so each is taken whatever the boundary before.
+    """
+    n = len(h)
+    place = np.arange(n + 1)
+    last = np.zeros(n + 1, np.int64)
+    last[1:][word] = place[1:][word]
+    last[s.off[:-1]] = s.off[:-1]
+    last = np.maximum.accumulate(last)
+    far = place[1:] - last[1:] >= REACH
+    if not far.any():
+        return far
+    # the first bytes of a document count as 0, so no window sees another document
+    v = np.zeros(n + 2 * WINDOW, np.uint32)
+    v[WINDOW : WINDOW + n] = h
+    v[WINDOW : WINDOW + n - 1][s.buf[1:] & 0xC0 == 0x80] = 0
+    for a, z in zip(s.off[:-1].tolist(), s.off[1:].tolist(), strict=True):
+        v[WINDOW + a : WINDOW + min(a + WINDOW, z)] = 0
+    most = v.copy()
+    for k in range(DOUBLINGS):
+        most[: -(1 << k)] = np.maximum(most[: -(1 << k)], most[1 << k :])
+    here = v[WINDOW : WINDOW + n]
+    top = np.maximum(most[:n], most[WINDOW + 1 : WINDOW + 1 + n])
+    return far & (here > 0) & (here >= top)
 
 
 @dataclass(frozen=True)
@@ -20,7 +50,9 @@ class Chunking:
     """Normalised chunking: a strict mask up to ``normal`` bytes, a loose one beyond, a cut at ``most``.
 
     The masks take the top bits of the hash, which depend on the whole window.  With ``at_words`` only
-    the first byte of a word can start a chunk, and forced cuts fall between code points.
+    the first byte of a word can start a chunk, and forced cuts fall between code points.  Where no word
+    has started for ``REACH`` bytes (text without ASCII white space, long strings), a chunk also ends where the
+    hash is the largest of a window on both sides, between code points.
     """
 
     least: int = WINDOW
@@ -38,11 +70,16 @@ class Chunking:
         """(ends, documents) of all chunks; a chunk starts where the last one ended.  Places depend on no byte outside the document."""
         h = gear(s.buf, _GEAR, DOUBLINGS)
         loose = (h >> np.uint32(32 - self.loose_bits)) == 0
+        hard = h >> np.uint32(32 - self.strict_bits) == 0
         if self.at_words and len(loose):
             space = SPACE[s.buf]
-            loose[:-1] &= space[:-1] & ~space[1:]
+            word = np.zeros(len(h), bool)
+            word[:-1] = space[:-1] & ~space[1:]
+            peak = _peaks(s, h, word)
+            loose = loose & word | peak
+            hard = hard & word | peak
         at = np.flatnonzero(loose)
-        hard = h[at] >> np.uint32(32 - self.strict_bits) == 0
+        hard = hard[at]
         wide, tight = (at + 1).tolist(), (at[hard] + 1).tolist()
         ends: list[int] = []
         counts: list[int] = []

@@ -1,7 +1,7 @@
 """Substring deduplication by content-defined chunks.
 
-Texts are cut into variable chunks that start at words chosen by a gear rolling hash over the last
-16 bytes, so equal passages fall into equal chunks whatever stands before them.  Of chunks with equal
+Texts are cut into variable chunks that start at words (far from any, at code points) chosen by a gear
+rolling hash over the last 16 bytes, so equal passages fall into equal chunks whatever stands before them.  Of chunks with equal
 digests the first is kept (smallest id, then place); runs of at least ``least_run`` bytes of later
 occurrences are deleted from their texts.
 

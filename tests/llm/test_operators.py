@@ -382,6 +382,17 @@ def test_substrings(spark, none):
     assert substring.dedup_substrings(none).count() == 0
 
 
+def test_substrings_without_white_space(spark):
+    rng = np.random.default_rng(5)
+    han = lambda n: "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA0, n))
+    passage = han(400)
+    rows = [(1, han(100) + passage + han(60)), (2, han(137) + passage + han(90)), (3, han(300))]
+    got = {r.doc_id: r for r in substring.dedup_substrings(_docs(spark, rows)).collect()}
+    assert got[1].text == rows[0][1] and got[3].text == rows[2][1]
+    assert passage[60:-60] not in got[2].text and sum(n for _, n in got[2].removed_spans) > 340
+    assert got[2].text.startswith(rows[1][1][:137]) and got[2].text.endswith(rows[1][1][-90:])
+
+
 # -- 8: sentencepiece ----------------------------------------------------------------------------
 
 

@@ -85,3 +85,28 @@ def test_chunks_do_not_depend_on_neighbours():
     (_, _, s), = _all(texts, target=1 << 30)
     end, doc = Chunking().ends(s)
     assert [list(end[doc == k] - s.off[k]) for k in range(len(texts))] == alone
+
+
+def test_chunks_resist_shifts_without_white_space():
+    rng = np.random.default_rng(1)
+    at_words = Chunking(least=16, normal=20, most=160, strict_bits=2, loose_bits=1, at_words=True)
+    han = lambda n: "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA0, n))
+    thai = lambda n: "".join(chr(c) for c in rng.integers(0x0E01, 0x0E2F, n))
+    base64 = lambda n: "".join(chr(c) for c in rng.integers(0x41, 0x5B, n))
+    spaced = lambda gap: lambda n: gap.join(base64(5) for _ in range(n // 6))
+    for make in (han, thai, base64, spaced("\u00a0"), spaced("\u3000")):
+        passage = make(400)
+        size = len(passage.encode())
+        for before in (1, 7, 50, 333):
+            texts = [make(200) + passage + make(90), make(200 + before) + passage + make(30)]
+            cuts, (_, _, s) = [], next(iter(_all(texts, target=1 << 30)))
+            start, end, doc = at_words.chunks(s)
+            for k, t in enumerate(texts):
+                a = int(s.off[k]) + len(t[: t.index(passage)].encode())
+                own = (doc == k) & (start >= a) & (end <= a + size)
+                cuts.append(set(zip((start[own] - a).tolist(), (end[own] - a).tolist())))
+                (_, _, alone), = _all([t], target=1 << 30)
+                assert (at_words.ends(alone)[0] == end[doc == k] - s.off[k]).all()
+            assert sum(z - a for a, z in cuts[0] & cuts[1]) > 0.7 * size
+            for z in end[:-1].tolist():
+                assert s.buf[z] & 0xC0 != 0x80
