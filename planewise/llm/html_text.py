@@ -2,8 +2,9 @@
 
 Each page is read once by a tolerant tag scanner into text blocks and container elements.  An
 element's subtree hash covers its tag, its text and its children's hashes (attributes aside).  Spark
-counts on how many pages of a host each subtree occurs; subtrees on ``least_pages`` pages or more (text
-blocks: ``least_block_pages``) are site template, and their blocks are deleted.  Parts whose tag, role or class names
+counts on how many pages of unlike content each subtree occurs on a host; subtrees on ``least_pages`` and
+``share`` of the host's contents or more (text blocks: ``least_block_pages`` and ``block_share``) are site template,
+and their blocks are deleted.  Copies of a page, told by their text without furniture by name, count once.  Parts whose tag, role or class names
 them as furniture go too, which matters on hosts of few pages.  Where a page marks its article (``article``, else ``main``), only blocks in
 it are text, and its paragraphs and headings are never counted: an article may quote what others quote.
 
@@ -11,7 +12,7 @@ Between the two passes a page travels as its compressed blocks; the hashes that
 by a join on (host, hash), so nothing is broadcast and no host meets in one task.
 
 Contract: null html is empty html and gives empty text; without a host in the url nothing is counted for the page;
-repeated rows are pages of their own; a null page id or url stays null; an empty table gives an empty one.
+each of repeated rows gets its text; a null page id or url stays null; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|\Z)|/?[a-zA-Z][^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[a-z]+")
+_SALTS = 32
 
 
 def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
@@ -73,6 +75,10 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def _signed(digest: int) -> int:
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
 class _Element:
     __slots__ = ("tag", "first", "parts", "silent", "named", "article", "main")
 
@@ -105,7 +111,7 @@ def scan(page: str) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
         digest = xxhash.xxh64_intdigest("\x00".join([e.tag, *e.parts]).encode("utf-8", "surrogatepass"))
         up.parts.append(f"<{digest:x}")
         if len(blocks) > e.first and not (e.tag in TEXT_BLOCKS and (e.article or e.main)) and e.tag not in ("html", "body", "article", "main"):
-            subtrees.append((digest - (1 << 64) if digest >> 63 else digest, e.first, len(blocks), e.tag in TEXT_BLOCKS))
+            subtrees.append((_signed(digest), e.first, len(blocks), e.tag in TEXT_BLOCKS))
 
     at, size = 0, len(page)
     while at < size:
@@ -167,7 +173,7 @@ def scan(page: str) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
     return ["" if named or place and not (article, main)[place - 1] else line for line, article, main, named in blocks], subtrees
 
 
-def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, least_block_pages: int = 10) -> DataFrame:
+def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, least_block_pages: int = 10, share: float = 0.005, block_share: float = 0.02) -> DataFrame:
     """(page_id, url, text, removed) of every page; ``removed`` counts the blocks found to be site template."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
@@ -177,13 +183,14 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                packed, found = [], []
+                packed, contents, found = [], [], []
                 for h, page in zip(part[3].to_pylist(), part[4].to_pylist(), strict=True):
                     blocks, subtrees = scan(page or "")
                     packed.append(zlib.compress(json.dumps([blocks, subtrees]).encode(), 1))
+                    contents.append(_signed(xxhash.xxh64_intdigest("\n".join(b for b in blocks if b).encode("utf-8", "surrogatepass"))))
                     found.append([{"digest": d, "block": t} for d, t in sorted({(d, t) for d, _, _, t in subtrees})] if h else [])
                 kind = pa.list_(pa.struct([("digest", pa.int64()), ("block", pa.bool_())]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(packed, pa.binary()), pa.array(found, kind)], names=["page_id", "url", "k", "host", "packed", "found"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(packed, pa.binary()), pa.array(contents, pa.int64()), pa.array(found, kind)], names=["page_id", "url", "k", "host", "packed", "content", "found"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,10 +202,15 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
                 removed.append(len(gone))
             yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["page_id", "url", "text", "removed"])
 
-    parsed = rows.mapInArrow(trimmed(parse), "page_id long, url string, k long, host string, packed binary, found array<struct<digest:long,block:boolean>>")
+    parsed = rows.mapInArrow(trimmed(parse), "page_id long, url string, k long, host string, packed binary, content long, found array<struct<digest:long,block:boolean>>")
     # pages are scanned twice: that costs less than keeping their blocks
-    seen = written(parsed.select("k", "host", F.inline("found")), "subtrees")
-    often = seen.groupBy("host", "digest", "block").agg(F.count("*").alias("pages"))
-    often = often.where(F.col("pages") >= F.when(F.col("block"), F.lit(least_block_pages)).otherwise(F.lit(least_pages))).drop("pages")
+    seen = written(parsed.select("k", "host", "content", F.inline("found")), "subtrees")
+    often = seen.groupBy("host", "digest", "block", "content").agg(F.lit(1).alias("one")).groupBy("host", "digest", "block").agg(F.count("*").alias("pages"))
+    often = often.where(F.col("pages") >= F.when(F.col("block"), F.lit(least_block_pages)).otherwise(F.lit(least_pages)))
+    # hosts where the shares ask for more, each several times, so that one host's subtrees are dealt out
+    large = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents")).where(F.col("contents") * max(share, block_share) > min(least_pages, least_block_pages))
+    large = large.select("host", "contents", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    often = often.withColumn("salt", F.pmod("digest", F.lit(_SALTS)).cast("int")).join(large, ["host", "salt"], "left")
+    often = often.where(F.col("pages") >= F.coalesce(F.col("contents"), F.lit(0)) * F.when(F.col("block"), F.lit(block_share)).otherwise(F.lit(share))).select("host", "digest", "block")
     hits = seen.join(often, ["host", "digest", "block"]).groupBy("k").agg(F.collect_set("digest").alias("hits"))
     return parsed.select("page_id", "url", "k", "packed").join(hits, "k", "left").select("page_id", "url", "packed", "hits").mapInArrow(trimmed(cut), "page_id long, url string, text string, removed long")

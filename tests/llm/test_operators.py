@@ -316,6 +316,28 @@ def test_html_templates(spark):
     assert html_text.extract_text(df.where("false")).count() == 0
 
 
+def _texts(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+
+
+def test_html_copies_of_a_page_are_one(spark):
+    plain = "<body><div><h1>Head</h1><p>Told once</p></div></body>"
+    article = "<body><article><div class=body><h1>Head</h1><p>Told in an article</p></div></article>{}</body>"
+    rows = [(i, f"https://a.example/?ref={i}", plain) for i in range(4)] + [(10 + i, f"https://b.example/?ref={i}", article.format(f"<footer>No {i}</footer>")) for i in range(4)]
+    got = _texts(spark, rows)
+    assert all(got[i] == "Head\nTold once" for i in range(4))
+    assert all(got[10 + i] == "Head\nTold in an article" for i in range(4))
+
+
+def test_html_shares_of_a_large_host(spark):
+    table = "<table><tr><td>Shared by a few</td></tr></table>"
+    page = lambda i: f"<body><p>Own text {i}</p>{table if i < 4 else ''}{'<p>Said by some</p>' if i < 12 else ''}<ul><li>Site menu</li></ul></body>"
+    got = _texts(spark, [(i, f"https://a.example/{i}", page(i)) for i in range(1000)])
+    assert got[0] == "Own text 0\nShared by a few\nSaid by some" and got[11] == "Own text 11\nSaid by some"
+    assert all(got[i] == f"Own text {i}" for i in range(12, 1000))
+
+
 # -- 6: language -------------------------------------------------------------------------------
 
 
