@@ -6,7 +6,9 @@ counts on how many pages of unlike content each subtree occurs on a host; subtre
 ``share`` of the host's contents or more (text blocks: ``least_block_pages`` and ``block_share``) are site template,
 and their blocks are deleted.  Copies of a page, told by their text without furniture by name, count once.  Parts whose tag, role or class names
 them as furniture go too, which matters on hosts of few pages.  Where a page marks its article (``article``, else ``main``), only blocks in
-it are text, and its paragraphs and headings are never counted: an article may quote what others quote.
+it are text.  Its blocks may be quoted by many articles, so they are template only if they also stand
+at the same place, one of the first or last ``PLACES`` blocks, on ``same_place`` of the pages that have them, or if they are on
+``article_share`` of the host's contents wherever they stand; headings only by the latter, as near copies share their title.
 
 Between the two passes a page travels as its compressed blocks; the hashes that recur come back to it
 by a join on (host, hash), so nothing is broadcast and no host meets in one task.
@@ -22,6 +24,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -36,6 +39,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption caption td th address summary".split())
 CONTAINERS = frozenset("html body div section article main aside nav header footer form ul ol dl table thead tbody tfoot tr figure fieldset details menu dialog hgroup search".split())
 BLOCKS = TEXT_BLOCKS | CONTAINERS
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Not text at all.
 SILENT = frozenset("head script style noscript template iframe svg math object audio video canvas button select textarea title datalist noembed noframes xmp".split())
 #: Furniture by name; ``header`` only outside an article.
@@ -55,6 +59,10 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z
 _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[a-z]+")
 _SALTS = 32
+#: Kinds of subtrees.
+CONTAINER, BLOCK, ARTICLE_BLOCK, ARTICLE_HEADING = range(4)
+#: Blocks at either end of a page's text that count as places; PLACES is every other place.
+PLACES = 3
 
 
 def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
@@ -87,10 +95,10 @@ class _Element:
         self.parts: list[str] = []
 
 
-def scan(page: str) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
-    """(blocks, subtrees): the page's blocks, empty where they are furniture by name or outside the article, and of each counted element its hash, its blocks' range and whether it is a text block."""
+def scan(page: str) -> tuple[list[str], list[tuple[int, int, int, int]]]:
+    """(blocks, subtrees): the page's blocks, empty where they are furniture by name or outside the article, and of each counted element its hash, its blocks' range and kind."""
     blocks: list[tuple[str, bool, bool, bool]] = []
-    subtrees: list[tuple[int, int, int, bool]] = []
+    subtrees: list[tuple[int, int, int, int]] = []
     stack = [_Element("", 0, False, False, False, False)]
     text: list[str] = []
 
@@ -110,8 +118,9 @@ def scan(page: str) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
         up = stack[-1]
         digest = xxhash.xxh64_intdigest("\x00".join([e.tag, *e.parts]).encode("utf-8", "surrogatepass"))
         up.parts.append(f"<{digest:x}")
-        if len(blocks) > e.first and not (e.tag in TEXT_BLOCKS and (e.article or e.main)) and e.tag not in ("html", "body", "article", "main"):
-            subtrees.append((_signed(digest), e.first, len(blocks), e.tag in TEXT_BLOCKS))
+        if len(blocks) > e.first and e.tag not in ("html", "body", "article", "main"):
+            kind = CONTAINER if e.tag not in TEXT_BLOCKS else BLOCK if not (e.article or e.main) else ARTICLE_HEADING if e.tag in HEADINGS else ARTICLE_BLOCK
+            subtrees.append((_signed(digest), e.first, len(blocks), kind))
 
     at, size = 0, len(page)
     while at < size:
@@ -173,7 +182,25 @@ def scan(page: str) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
     return ["" if named or place and not (article, main)[place - 1] else line for line, article, main, named in blocks], subtrees
 
 
-def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, least_block_pages: int = 10, share: float = 0.005, block_share: float = 0.02) -> DataFrame:
+def _found(host: str, blocks: list[str], subtrees: list[tuple[int, int, int, int]]) -> tuple[list[tuple[int, int, int]], dict[int, int]]:
+    """The page's subtrees, by a digest of host, kind and subtree: (digest, first block, block behind) of each; and by digest the kind and, for ARTICLE_BLOCK, the text blocks before and after, up to PLACES."""
+    before = [0, *accumulate(1 if b else 0 for b in blocks)]
+    ranges: list[tuple[int, int, int]] = []
+    places: dict[int, int] = {}
+    for digest, a, z, kind in subtrees:
+        if kind >= ARTICLE_BLOCK and before[z] == before[a]:
+            continue  # no text: furniture by name or outside the article
+        key = _signed(xxhash.xxh64_intdigest(f"{kind} {digest} {host}".encode("utf-8", "surrogatepass")))
+        top = bottom = PLACES
+        if kind == ARTICLE_BLOCK:
+            top, bottom = min(before[a], PLACES), min(before[-1] - before[z], PLACES)
+        had = places.get(key, PLACES << 2 | PLACES)
+        ranges.append((key, a, z))
+        places[key] = kind << 4 | min(had >> 2 & 3, top) << 2 | min(had & 3, bottom)
+    return ranges, places
+
+
+def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, least_block_pages: int = 10, share: float = 0.005, block_share: float = 0.02, article_share: float = 0.3, same_place: float = 0.9) -> DataFrame:
     """(page_id, url, text, removed) of every page; ``removed`` counts the blocks found to be site template."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
@@ -183,34 +210,40 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                packed, contents, found = [], [], []
+                packed, contents, digests, places = [], [], [], []
                 for h, page in zip(part[3].to_pylist(), part[4].to_pylist(), strict=True):
                     blocks, subtrees = scan(page or "")
-                    packed.append(zlib.compress(json.dumps([blocks, subtrees]).encode(), 1))
+                    ranges, found = _found(h, blocks, subtrees) if h else ([], {})
+                    packed.append(zlib.compress(json.dumps([blocks, ranges], ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"), 6))
                     contents.append(_signed(xxhash.xxh64_intdigest("\n".join(b for b in blocks if b).encode("utf-8", "surrogatepass"))))
-                    found.append([{"digest": d, "block": t} for d, t in sorted({(d, t) for d, _, _, t in subtrees})] if h else [])
-                kind = pa.list_(pa.struct([("digest", pa.int64()), ("block", pa.bool_())]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(packed, pa.binary()), pa.array(contents, pa.int64()), pa.array(found, kind)], names=["page_id", "url", "k", "host", "packed", "content", "found"])
+                    digests.append(list(found))
+                    places.append(list(found.values()))
+                more = [pa.array(packed, pa.binary()), pa.array(contents, pa.int64()), pa.array(digests, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int8()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *more], names=["page_id", "url", "k", "host", "packed", "content", "digests", "places"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = [], []
             for packed, hits in zip(batch[2].to_pylist(), batch[3].to_pylist(), strict=True):
-                blocks, subtrees = json.loads(zlib.decompress(packed))
-                gone = {i for d, a, z, _ in subtrees if hits and d in hits for i in range(a, z)}
+                blocks, ranges = json.loads(zlib.decompress(packed))
+                gone = {i for d, a, z in ranges if hits and d in hits for i in range(a, z)}
                 texts.append("\n".join(b for i, b in enumerate(blocks) if b and i not in gone))
                 removed.append(len(gone))
             yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["page_id", "url", "text", "removed"])
 
-    parsed = rows.mapInArrow(trimmed(parse), "page_id long, url string, k long, host string, packed binary, content long, found array<struct<digest:long,block:boolean>>")
+    parsed = rows.mapInArrow(trimmed(parse), "page_id long, url string, k long, host string, packed binary, content long, digests array<long>, places array<byte>")
     # pages are scanned twice: that costs less than keeping their blocks
-    seen = written(parsed.select("k", "host", "content", F.inline("found")), "subtrees")
-    often = seen.groupBy("host", "digest", "block", "content").agg(F.lit(1).alias("one")).groupBy("host", "digest", "block").agg(F.count("*").alias("pages"))
-    often = often.where(F.col("pages") >= F.when(F.col("block"), F.lit(least_block_pages)).otherwise(F.lit(least_pages)))
+    seen = written(parsed.where("size(digests) > 0").select("k", "host", "content", "digests", "places"), "subtrees")
+    one = seen.groupBy("host", "content").agg(F.min_by(F.struct("digests", "places"), "k").alias("x"))
+    each = one.select("host", F.inline(F.arrays_zip("x.digests", "x.places"))).toDF("host", "digest", "place")
+    sides = [F.count(F.when(F.shiftright("place", n).bitwiseAND(3) == k, 1)) for n in (2, 0) for k in range(PLACES)]
+    often = each.groupBy("host", "digest", F.shiftright("place", 4).alias("kind")).agg(F.count("*").alias("pages"), F.greatest(*sides).alias("placed"))
+    often = often.where(F.col("pages") >= F.when(F.col("kind") == CONTAINER, F.lit(least_pages)).otherwise(F.lit(least_block_pages)))
     # hosts where the shares ask for more, each several times, so that one host's subtrees are dealt out
-    large = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents")).where(F.col("contents") * max(share, block_share) > min(least_pages, least_block_pages))
+    large = one.groupBy("host").agg(F.count("*").alias("contents")).where(F.col("contents") * max(share, block_share, article_share) > min(least_pages, least_block_pages))
     large = large.select("host", "contents", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
     often = often.withColumn("salt", F.pmod("digest", F.lit(_SALTS)).cast("int")).join(large, ["host", "salt"], "left")
-    often = often.where(F.col("pages") >= F.coalesce(F.col("contents"), F.lit(0)) * F.when(F.col("block"), F.lit(block_share)).otherwise(F.lit(share))).select("host", "digest", "block")
-    hits = seen.join(often, ["host", "digest", "block"]).groupBy("k").agg(F.collect_set("digest").alias("hits"))
+    least = F.when(F.col("kind") == CONTAINER, F.lit(share)).when((F.col("kind") == BLOCK) | (F.col("placed") >= same_place * F.col("pages")), F.lit(block_share)).otherwise(F.lit(article_share))
+    often = often.where(F.col("pages") >= F.coalesce("contents", F.lit(0)) * least).select("digest")
+    hits = seen.select("k", F.explode("digests").alias("digest")).join(often, "digest").groupBy("k").agg(F.collect_set("digest").alias("hits"))
     return parsed.select("page_id", "url", "k", "packed").join(hits, "k", "left").select("page_id", "url", "packed", "hits").mapInArrow(trimmed(cut), "page_id long, url string, text string, removed long")

@@ -338,6 +338,28 @@ def test_html_shares_of_a_large_host(spark):
     assert all(got[i] == f"Own text {i}" for i in range(12, 1000))
 
 
+def test_html_recurrence_inside_the_article(spark):
+    def page(i):
+        own = [f"<p>Own text {i} {k}</p>" for k in range(4 + i % 5)]
+        if i % 4 == 0:
+            own.insert(i // 4 % len(own), "<p>Quoted by a quarter</p>")
+        if i % 2:
+            own.insert(i // 2 % len(own), "<p>An advert</p>")
+        return f"<body><article><h1>Title {i}</h1>{''.join(own)}{'<ul><li>Subscribe now</li></ul>' if i % 10 == 3 else ''}</article></body>"
+
+    got = _texts(spark, [(i, f"https://a.example/{i}", page(i)) for i in range(200)])
+    for i, text in got.items():
+        assert text.startswith(f"Title {i}\n") and all(f"Own text {i} {k}" in text for k in range(4 + i % 5))
+        assert ("Quoted by a quarter" in text) == (i % 4 == 0)
+        assert "Subscribe" not in text and "advert" not in text
+
+
+def test_html_last_paragraph_of_many_articles(spark):
+    page = lambda i: f"<body><article><h1>Title {i}</h1>{''.join(f'<p>Own {i} {k}</p>' for k in range(2 + i % 4))}{'<p>Read more here</p>' if i % 10 == 3 else ''}</article></body>"
+    got = _texts(spark, [(i, f"https://a.example/{i}", page(i)) for i in range(200)])
+    assert all(got[i] == "\n".join([f"Title {i}", *(f"Own {i} {k}" for k in range(2 + i % 4))]) for i in range(200))
+
+
 # -- 6: language -------------------------------------------------------------------------------
 
 
