@@ -18,6 +18,8 @@ from planewise.llm.common import small_batches, written
 #: Near duplicates here: five-word shingles, Jaccard 0.8 or more.
 SHINGLE, PERCENT = 5, 80
 TOKENIZER = "word_bpe_49k.json"
+#: A digest of id and text, by which rows without an id or of a repeated one are told apart.
+_KEY = "_near_duplicates_key"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,16 +35,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, that of the smallest id; one of rows equal in id and text."""
+    """One row of each component of near duplicates, that of the smallest id (rows without an id last) and text digest; one of rows equal in id and text."""
     small_batches(spark)
-    found = ngram_join.component_table(docs, size=SHINGLE, percent=PERCENT)
-    dropped = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    names, keyed = docs.columns, docs.withColumn(_KEY, F.xxhash64("doc_id", "text"))
+    found = ngram_join.component_table(keyed.select(_KEY, "text"), id_col=_KEY, size=SHINGLE, percent=PERCENT).select(F.col("doc_id").alias(_KEY), "component_id")
+    links = found.where(f"component_id < {_KEY}").distinct()
+    members = written(links.union(links.select("component_id", "component_id").distinct()), "members")
+    ids = keyed.select(_KEY, "doc_id").join(members, _KEY)
+    stay = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _KEY)).alias("x")).select(f"x.{_KEY}")
+    kept = keyed.join(members.select(_KEY).join(stay, _KEY, "left_anti"), _KEY, "left_anti").select(*names, _KEY)
+    repeated = found.groupBy(_KEY).agg(F.count("*").alias("n")).where("n > 1").select(_KEY)
     if not repeated.limit(1).count():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
+        return kept.select(*names)
+    once = kept.join(repeated, _KEY, "left_semi").dropDuplicates([_KEY])
+    return kept.join(repeated, _KEY, "left_anti").select(*names).union(once.select(*names))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,13 @@ def test_pipeline_stages_take_odd_rows(spark, sf_dir):
     empty = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_near_duplicates_without_or_with_repeated_ids(spark, sf_dir):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(None, text("a"))] * 3 + [(None, text("a") + " more"), (None, text("b")), (7, text("b")), (8, text("b")), (9, text("c")), (9, text("c").upper()), (9, text("c") + " more"), (9, text("d")), (5, "short"), (6, "short")]
+    docs = spark.createDataFrame([(i, t, "xx", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()]
+    assert len(got) == len(set(got)) == 5
+    assert {(7, text("b")), (9, text("d")), (5, "short")} <= set(got)
+    assert sum(i is None and t.startswith("a0 ") for i, t in got) == 1 and sum(i == 9 and t.lower().startswith("c0 ") for i, t in got) == 1
