@@ -9,8 +9,8 @@ Giant documents are cut into chunks of ``chunk`` characters that different tasks
 
 * The state at a chunk's end is how many characters the last piece reaches beyond it, less than the
   longest piece.  Each chunk yields the max-plus matrix from entry states to exit states.
-* The matrices of one document (a few KB each) are combined associatively, which gives every chunk's
-  best entry and exit state.
+* One state vector runs through the matrices of one document (a few KB each) in sequence, in one task, which
+  gives every chunk's best entry and exit state.  The matrices could be combined associatively; that is not done.
 * Each chunk is then traced back for itself between its two states.
 
 The objective is the score sum, as for unigram models.  A vocabulary made by merging ranks (such as
