@@ -440,32 +440,62 @@ def test_substrings_without_white_space(spark):
 # -- 8: sentencepiece ----------------------------------------------------------------------------
 
 
+def _library(texts):
+    import sentencepiece
+
+    return [np.array(x, "<u4").tobytes() for x in sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(texts)]
+
+
 def test_sentencepiece_round_trip(docs, none):
-    for chunk in (1 << 16, 50):  # the second makes giants of most texts
-        back = spm.decode_documents(spm.encode_documents(docs, PIECES, chunk=chunk), PIECES).collect()
+    for chunk in (1 << 16, 50, 3):  # the smaller ones make giants of most texts
+        coded = spm.encode_documents(docs, PIECES, chunk=chunk)
+        back = spm.decode_documents(coded, PIECES).collect()
         assert Counter((r.doc_id, r.decoded) for r in back) == Counter((i, t or "") for i, t in ODD)
+        plain = [r for r in back if "▁" not in r.decoded]  # the library takes the sign for a space
+        assert [bytes(r.ids) for r in plain] == _library([r.decoded for r in plain])
+        compared = spm.encode_documents(docs, PIECES, chunk=chunk, compare=True).collect()
+        assert Counter((r.doc_id, bytes(r.ids), r.chunks, r.exact) for r in compared) == Counter((r.doc_id, bytes(r.ids), r.chunks, True) for r in back)
     assert spm.encode_documents(none, PIECES).count() == 0
 
 
-def test_max_plus_scan_is_the_best_path():
+def test_ids_are_the_library_s(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    for chunk in (1 << 16, 97):
+        got = {r.doc_id: bytes(r.ids) for r in spm.encode_documents(spark.createDataFrame(rows), PIECES, chunk=chunk).collect()}
+        assert [got[r.doc_id] for r in rows] == _library([r.text for r in rows])
+
+
+SIGNS = [_prose(1, 40), "x" * 200, "  two  spaces ", "".join(np.random.default_rng(0).choice(list("abc é漢"), 300)), "thequickbrownfox" * 15, "日本語のテキスト" * 25, " " * 90 + "x" + " " * 77, "\n\na\n \n b" * 9, "1234567890" * 12]
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 5, 16, 33, 90])
+def test_max_plus_scan_gives_the_library_s_ids(chunk):
     v = spm.vocabulary(PIECES)
-    rng = np.random.default_rng(0)
-    scores = {i: s for i, s in v.pieces.values()}
-    for text in [_prose(1, 40), "x" * 200, "  two  spaces ", "".join(rng.choice(list("abc é漢"), 300)), "▁ literal"]:
+    for text, ids in zip(SIGNS, _library(SIGNS), strict=True):
         s = v.signs(text)
-        ids, best = v.path(s, 0, len(s))
-        for chunk in (5, 33, 90):
-            parts = [(s[a : a + chunk + v.longest - 1], min(chunk, len(s) - a)) for a in range(0, len(s), chunk)]
-            matrices = [v.matrix(*p) for p in parts]
-            whole = matrices[0]
-            for m in matrices[1:]:
-                whole = spm.combine(whole, m)
-            states = spm.best_states(matrices)
-            out = b"".join(b for (p, n), a, z in zip(parts, states, states[1:]) for b in v.trace(p, n, a, z))
-            assert abs(whole[0, 0] - best) <= 1e-6 * abs(best)
-            assert v.decode(out) == text
-            known = lambda x: sum(scores.get(i, 0.0) for i in x)
-            assert abs(known(np.frombuffer(out, "<u4").tolist()) - known(ids)) <= 1e-6 * abs(best)
+        parts = []
+        for a in range(0, len(s), chunk):
+            lo, z = max(0, a - v.longest), min(len(s), a + chunk)
+            parts.append((s[lo : z + v.longest], a - lo, z - lo, z == len(s)))
+        matrices = [v.matrix(*p) for p in parts]
+        whole = matrices[0]
+        for m in matrices[1:]:
+            whole = spm.combine(whole, m)
+        assert whole.tolist() == [[len(ids) // 4]]  # the weight of the best path is its number of ids
+        states = spm.best_states(matrices)
+        half = len(matrices) // 2
+        if half:  # associative: two products, then the states of either half
+            left, right = (spm.reduce(spm.combine, m) for m in (matrices[:half], matrices[half:]))
+            middle = spm.best_states([left, right])[1]
+            assert spm.best_states(matrices[:half], 0, middle) + spm.best_states(matrices[half:], middle, 0)[1:] == states
+        out = [v.trace(*p, a, z) for p, a, z in zip(parts, states, states[1:])]
+        assert b"".join(x for x, _ in out) == ids and "".join(x for _, x in out) == s
+
+
+def test_merging_is_the_library_s():
+    v = spm.vocabulary(PIECES)
+    for text, ids in zip(SIGNS, _library(SIGNS), strict=True):
+        assert [i for part in v.merged(v.signs(text)) for i in v.spell(part)] == np.frombuffer(ids, "<u4").tolist()
 
 
 # -- 9: sharding --------------------------------------------------------------------------------
