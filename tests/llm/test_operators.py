@@ -426,6 +426,27 @@ def test_substrings(spark, none):
     assert substring.dedup_substrings(none).count() == 0
 
 
+def test_removed_spans_occur_earlier(spark, sf_dir):
+    """Brute force: every span stands whole in an earlier document or before itself; phrases seen apart do not add up."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(100_000 + k, " ".join(_prose(900 + 20 * k + j, 6) for j in range(12))) for k in range(3)]
+    parts = [_prose(900 + 20 * (k % 3) + j, 6) for k, j in enumerate(range(9))]  # each of another document
+    rows += [(200_000, " ".join(p + " " + _prose(7000 + k, 2) for k, p in enumerate(parts))), (200_001, "again and again " * 60)]
+    texts = dict(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for least in (64, 150):
+        found = [r for r in substring.dedup_substrings(table, least_run=least).collect() if r.removed_spans]
+        assert found
+        for r in found:
+            old = texts[r.doc_id]
+            for s in r.removed_spans:
+                span = old[s.start : s.start + s.length]
+                assert any(span in t for i, t in rows if i < r.doc_id) or span in old[: s.start + s.length - 1], (r.doc_id, span)
+    got = {r.doc_id: r for r in substring.dedup_substrings(table).collect()}
+    assert got[200_000].removed_spans == [] and got[100_001].removed_spans == []
+    assert 60 < len(got[200_001].text) < 400
+
+
 def test_substrings_without_white_space(spark):
     rng = np.random.default_rng(5)
     han = lambda n: "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA0, n))
