@@ -55,7 +55,7 @@ NONE = -1
 
 
 class Vocabulary:
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -83,6 +83,8 @@ class Vocabulary:
         self.most = most_words
         self.known: dict[str, bytes] = {}
         self._follows: dict[tuple[str, str], bool] = {}
+        #: Ids of pieces, and of other characters once they were met.
+        self.code = {p: struct.pack("<I", i) for p, i in self.pieces.items()}
         #: Entries that merging can make: those that are their own encoding.
         self.sound = {p for p in self.pieces if len(self.merged(p)) == 1}
 
@@ -119,13 +121,14 @@ class Vocabulary:
         return hit
 
     def width(self, part: str) -> int:
-        return 1 if part in self.pieces else len(part.encode("utf-8", "surrogatepass"))
+        return len(self.spell(part)) // 4
 
-    def spell(self, part: str) -> list[int]:
-        hit = self.pieces.get(part)
-        if hit is not None:
-            return [hit]
-        return [self.bytes[b] for b in part.replace(_LITERAL, SPACE).encode()]
+    def spell(self, part: str) -> bytes:
+        hit = self.code.get(part)
+        if hit is None:  # a character in no piece
+            spelt = part.replace(_LITERAL, SPACE).encode()
+            hit = self.code[part] = struct.pack(f"<{len(spelt)}I", *(self.bytes[b] for b in spelt))
+        return hit
 
     # -- paths ------------------------------------------------------------------------------------
 
@@ -175,35 +178,56 @@ class Vocabulary:
             end = p
         return parts[::-1]
 
-    def path(self, s: str) -> list[int]:
-        """Ids of a string that starts and ends at places no piece crosses: as from ``run``, without its counts."""
-        if s in self.sound:
-            return [self.pieces[s]]
-        longest, sound, get = self.longest, self.sound, self._follows.get
-        last = [OPEN] + [NONE] * len(s)
-        for q in range(1, len(s) + 1):
-            for p in range(q - longest if q > longest else 0, q):
-                b = last[p]
-                if b != NONE and ((piece := s[p:q]) in sound or p == q - 1):
-                    if b == OPEN:
-                        last[q] = p
+    def path(self, s: str) -> bytes:
+        """Ids of a string that starts and ends at places no piece crosses: as from ``run``, by depth first search.
+
+        Any path that reaches the end is the only one, so long pieces are tried first; pieces from which the end
+        could not be reached are not tried again.
+        """
+        sound = self.sound
+        if s in sound:
+            return self.code[s]
+        longest, get, follows, size = self.longest, self._follows.get, self.follows, len(s)
+        pieces: list[str] = []
+        dead: set[tuple[int, int]] | None = None
+        at, before = 0, ""
+        end = size if size < longest else longest
+        while True:
+            while end > at:
+                piece = s[at:end]
+                if (piece in sound or end == at + 1) and (dead is None or (at, end) not in dead):
+                    if not before:
                         break
-                    may = get((before := s[b:p], piece))
-                    if self.follows(before, piece) if may is None else may:
-                        last[q] = p
+                    may = get((before, piece))
+                    if follows(before, piece) if may is None else may:
                         break
-        return [i for part in self.back(s, (0, last, last), len(s)) for i in self.spell(part)]
+                end -= 1
+            else:
+                dead = dead or set()
+                dead.add((at - len(before), at))
+                end = at - 1
+                at -= len(pieces.pop())
+                before = pieces[-1] if pieces else ""
+                continue
+            pieces.append(piece)
+            if end == size:
+                return b"".join(map(self.spell, pieces))
+            at, before = end, piece
+            end = at + longest
+            if end > size:
+                end = size
 
     def words(self, s: str) -> list[bytes]:
         """Ids of the words of a string that starts and ends at places no piece crosses."""
-        known, out = self.known, []
-        for w in self.word.findall(s) if self.cuts else [s]:
-            ids = known.get(w)
-            if ids is None:
-                ids = struct.pack(f"<{len(x := self.path(w))}I", *x)
-                if len(w) <= 64:
-                    known[w] = ids
-            out.append(ids)
+        known, words = self.known, self.word.findall(s) if self.cuts else [s]
+        out = list(map(known.get, words))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    w = words[i]
+                    out[i] = ids = known.get(w) or self.path(w)
+                    if len(w) <= 64:
+                        known[w] = ids
         if len(known) > self.most:  # common words came first; the later half goes
             for w in list(itertools.islice(known, self.most // 2, None)):
                 del known[w]
@@ -269,7 +293,7 @@ class Vocabulary:
         o, e = self.states(s, a)[entry]
         leaves = self.states(s, z)
         edges = self._edges(s, a, z)
-        as_bytes = lambda parts: np.array([i for p in parts for i in self.spell(p)], "<u4").tobytes()
+        as_bytes = lambda parts: b"".join(map(self.spell, parts))
         start, before, head = e, (o, e), []
         if edges:
             head = [as_bytes(self.back(s, self.run(s, o, e, edges[0]), edges[0])), *self.words(s[edges[0] : edges[1]])]
