@@ -8,12 +8,15 @@ interpolated with the next lower one.
 The models are stored together: per order one sorted array of n-gram hashes with the final
 log probability under every language, and one sorted array of context hashes with every language's
 log back-off weight, for n-grams no language has seen.  A text gets the language of the lowest cross-entropy
-per character.  It is *rejected* if that is above the language's limit, which is calibrated on
-the training texts (mean and spread by length), or if no language was learned.
+per sign.  It is *rejected* if that is above the language's limit, or if no language was learned.  The limit is
+calibrated on one training text in ``CALIBRATION`` that was not counted: the median, plus so many deviations of the mean of
+as many signs (spread between texts and within them) as the 99.9th percentile of these texts shows, ``SLACK`` at least.
 
-Counts are fitted on at most ``most_docs`` documents a language (a documented bound; by hash of the id).
+Counts are fitted on at most ``most_docs`` documents a language (a documented bound; by hash of the id); the n-gram types of that
+sample are what the driver holds and ships.
 Contract: null text, or text without a letter, is ``und`` with score 0 and is rejected; a null id
-counts like any other; with nothing to learn from every text is ``und``.
+counts like any other; repeated rows are learned and judged each for itself; texts are read whole; extra columns are
+ignored (``keep_known`` passes them on); with nothing to learn from every text is ``und``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ from planewise.llm.textbuf import U64, flatten, mix, slices
 
 ORDER = 4
 MOST_DOCS = 4000
-#: Nats a sign that a text may lie above what the training texts reach: names, numbers and markup in clean texts cost some.
-MARGIN = 0.35
+#: One training text in so many calibrates the limits and is not counted.
+CALIBRATION = 5
+#: The least number of deviations a text may lie above its language's median.
+SLACK = 6.0
 _BASE = 0x9FB21C651E98DF25
 _letters: list[np.ndarray] = []
 
@@ -133,7 +138,8 @@ def find(keys: np.ndarray, index: np.ndarray, shift: int, h: np.ndarray) -> np.n
 class Models:
     def __init__(self, langs: list[str], orders: list[Order], floor: float):
         self.langs, self.orders, self.floor = langs, orders, floor
-        self.limits = np.full((len(langs), 2), np.inf)
+        #: Of each language: median, squared spread between texts, variance of a sign, deviations allowed.
+        self.limits = np.tile([np.inf, 0.0, 0.0, SLACK], (len(langs), 1))
         self.prepare()
 
     def prepare(self) -> None:
@@ -165,33 +171,37 @@ class Models:
             out[miss] = low + np.where(at[:, None] >= 0, o.backoff[at], 0)
         return out
 
-    def entropies(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(cross-entropy a sign in nats under each language, letters) of each document of a slice."""
+    def surprise(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log probabilities a sign and language, where each document's signs begin, letters of each document) of a slice."""
         n = len(off) - 1
         sign, doc = symbols(buf, off)
         at = np.flatnonzero(~_first(doc))
         g, c = grams(sign, doc)
         lp = self.logp([x[at] for x in g], [x[at] for x in c])
-        cum = np.zeros((len(at) + 1, len(self.langs)))
+        letters = np.bincount(doc[at][sign[at] != 0], minlength=n).astype(float)
+        return lp, np.searchsorted(doc[at], np.arange(n + 1)), letters
+
+    def entropies(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cross-entropy a sign in nats under each language, signs, letters) of each document of a slice."""
+        lp, edge, letters = self.surprise(buf, off)
+        cum = np.zeros((len(lp) + 1, len(self.langs)))
         np.cumsum(lp, axis=0, out=cum[1:])
-        edge = np.searchsorted(doc[at], np.arange(n + 1))
         count = np.diff(edge)
-        total = cum[edge[1:]] - cum[edge[:-1]]
-        letters = np.bincount(doc[at][sign[at] != 0], minlength=n).astype(float)
-        return -total / np.maximum(count, 1)[:, None], letters
+        return -(cum[edge[1:]] - cum[edge[:-1]]) / np.maximum(count, 1)[:, None], count, letters
 
     def decide(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the language or -1, score, accepted)."""
         n = len(off) - 1
         if not self.langs:
             return np.full(n, -1), np.zeros(n), np.zeros(n, bool)
-        h, letters = self.entropies(buf, off)
+        h, count, letters = self.entropies(buf, off)
         best = np.argmin(h, axis=1)
         gap = h - h[np.arange(n), best][:, None]
         # a posterior as if at most 64 signs were independent evidence
         score = 1 / np.exp(-gap * np.clip(letters, 1, 64)[:, None]).sum(axis=1)
         some = letters > 0
-        limit = self.limits[best, 0] + self.limits[best, 1] / np.sqrt(np.maximum(letters, 1))
+        middle, between, within, slack = self.limits[best].T
+        limit = middle + slack * np.sqrt(between + within / np.maximum(count, 1))
         return np.where(some, best, -1), np.where(some, score, 0.0), some & (h[np.arange(n), best] <= limit)
 
 
@@ -236,7 +246,7 @@ def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, context: np.ndar
 
 
 def training_docs(docs: DataFrame, most_docs: int, folds: int, held_out: int) -> DataFrame:
-    """(lang, text) of at most ``most_docs`` documents of each language, the ids of the smallest hash."""
+    """(lang, text, calibrates) of at most ``most_docs`` documents of each language, the ids of the smallest hash."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & (fold("doc_id", folds) != held_out))
     total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -250,11 +260,11 @@ def training_docs(docs: DataFrame, most_docs: int, folds: int, held_out: int) ->
     last = {r["lang"]: r["h"] for r in ids.where(F.col("rank") == most_docs).collect()}
     for name, edge in last.items():
         rows = rows.where((F.col("lang") != name) | (h <= F.lit(edge)))
-    return rows.select("lang", "text")
+    return rows.select("lang", "text", (F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(CALIBRATION)) == 0).alias("calibrates"))
 
 
-def train(docs: DataFrame, *, most_docs: int = MOST_DOCS, folds: int = 4, held_out: int = 2, slack: float = 4.0) -> Models:
-    """Count n-grams in Spark, build the models, then calibrate the limits on the same texts."""
+def train(docs: DataFrame, *, most_docs: int = MOST_DOCS, folds: int = 4, held_out: int = 2) -> Models:
+    """Count n-grams in Spark, build the models, then calibrate the limits on texts set apart."""
     rows = training_docs(docs, most_docs, folds, held_out)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +294,7 @@ def train(docs: DataFrame, *, most_docs: int = MOST_DOCS, folds: int = 4, held_o
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "size", "gram", "context", "suffix", "n"])
         held.clear()
 
-    types = rows.mapInArrow(trimmed(count), "lang string, size int, gram long, context long, suffix long, n long")
+    types = rows.where("not calibrates").mapInArrow(trimmed(count), "lang string, size int, gram long, context long, suffix long, n long")
     table = types.groupBy("lang", "size", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n")).toPandas()
     if not len(table):
         return Models([], [], 0.0)
@@ -299,15 +309,22 @@ def train(docs: DataFrame, *, most_docs: int = MOST_DOCS, folds: int = 4, held_o
             names = np.array(batch[0].to_pylist(), object)
             buf, off = flatten(batch[1])
             for i, j in slices(off):
-                h, letters = models.entropies(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                own = h[np.arange(j - i), np.searchsorted(langs, names[i:j].astype(str))]
-                yield pa.RecordBatch.from_arrays([pa.array(names[i:j], pa.string()), pa.array(own), pa.array(letters)], names=["lang", "h", "letters"])
-
-    fits = rows.mapInArrow(trimmed(measure), "lang string, h double, letters double").where("letters > 0")
-    # limits: the median plus `slack` times a robust spread, and as much more a text of n letters as 1/sqrt(n) gives
-    middle = fits.where("letters >= 100").groupBy("lang").agg(F.percentile_approx("h", 0.5).alias("mid"), F.percentile_approx("h", 0.999).alias("top"), F.stddev("h").alias("sd")).collect()
-    for r in middle:
-        models.limits[langs.index(r["lang"])] = (max(r["top"], r["mid"] + slack * (r["sd"] or 0.0)) + MARGIN, slack)
+                lp, edge, letters = models.surprise(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                of = np.repeat(np.arange(j - i), np.diff(edge))
+                own = -lp[np.arange(len(lp)), np.searchsorted(langs, names[i:j].astype(str))[of]].astype(float)
+                n = np.maximum(np.diff(edge), 1)
+                h = np.bincount(of, own, j - i) / n
+                within = np.bincount(of, (own - h[of]) ** 2, j - i) / n
+                yield pa.RecordBatch.from_arrays([pa.array(names[i:j], pa.string()), *(pa.array(x.astype(float)) for x in (h, within, n, letters))], names=["lang", "h", "within", "n", "letters"])
+
+    # at most most_docs / CALIBRATION rows a language or so; those of a language the counts did not see cannot be measured
+    apart = rows.where(F.col("calibrates") & F.col("lang").isin(langs))
+    fits = apart.mapInArrow(trimmed(measure), "lang string, h double, within double, n double, letters double").where("letters >= 100").toPandas()
+    for name, x in fits.groupby("lang"):
+        middle = float(x["h"].median())
+        between, within = float((x["h"] - middle).abs().median() * 1.4826) ** 2, float(x["within"].mean())
+        z = (x["h"] - middle) / np.sqrt(between + within / x["n"])
+        models.limits[langs.index(name)] = middle, between, within, max(SLACK, float(z.quantile(0.999)))
     return models
 
 
