@@ -1,9 +1,9 @@
 """Sequence packing: first-fit decreasing on a tournament tree, in randomised groups of documents.
 
 Tokenising is a map over whole texts.  A document's ids (its tokens, then the separator) are cut
-into pieces of at most one sequence; the pieces of a random group of about ``group_docs``
-documents meet in one task, sorted, and are packed there as a stream: full pieces are sequences
-at once, only the remainders of one group (under ``group_docs`` sequences) are held.
+into pieces of at most one sequence.  Full pieces are sequences of their own and pass through the task they are dealt to one batch
+at a time.  The remainders of a random group of about ``group_docs`` documents meet in one task and are packed there; a
+group of more (rows that share id and text may do that) is packed ``MOST_HELD`` remainders at a time, so that is all a task holds.
 
 * First-fit decreasing: the leaves of a tournament tree hold the free room of the open sequences,
   each inner node the larger of its two; one descent finds the leftmost sequence with room.
@@ -25,12 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planewise.llm.common import pairs_of, shuffle_partitions, trimmed
 
-PIECES = "grp long, doc_id long, start long, doc_tokens long, ids binary"
+#: Remainders that a task packs together.
+MOST_HELD = 8192
+PIECES = "part long, grp long, doc_id long, start long, doc_tokens long, ids binary"
 PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -226,39 +229,59 @@ def pack_documents(
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                rows: list[list] = [[], [], [], [], []]
+                rows: list[list] = [[] for _ in range(6)]
                 for grp, doc, ids in zip(part[0].to_pylist(), part[1].to_pylist(), tok.encode(part[2].to_pylist()), strict=True):
                     ids += end
                     for a in range(0, len(ids), step):
-                        for col, v in zip(rows, (grp, doc, a // w, len(ids) // w, ids[a : a + step]), strict=True):
+                        full = a + step <= len(ids)  # dealt out by its own place, with no group
+                        values = (grp + 1 + a // step, None, doc, a // w, len(ids) // w, ids[a : a + step]) if full else (grp, grp, doc, a // w, len(ids) // w, ids[a:])
+                        for col, v in zip(rows, values, strict=True):
                             col.append(v)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:4]), pa.array(rows[4], pa.binary())], names=["grp", "doc_id", "start", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:5]), pa.array(rows[5], pa.binary())], names=["part", "grp", "doc_id", "start", "doc_tokens", "ids"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = tokenizer(tokenizer_path).dtype
+        here = TaskContext.get().partitionId()
 
-        def out(grp: int, items: list[tuple]) -> Iterator[pa.RecordBatch]:
+        def rows(cols: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+
+        def out(grp: int, first: int, items: list[tuple]) -> Iterator[pa.RecordBatch]:
             cols: list[list] = [[] for _ in range(7)]
-            for k, seq in enumerate(pack_group(items, seq_len, min_cut)):
+            k = first
+            for k, seq in enumerate(pack_group(items, seq_len, min_cut), first + 1):
                 at = 0
                 for doc, start, total, ids in seq:
                     for col, v in zip(cols, (doc, start, len(ids), total, (grp << 32) + k, at, ids.astype("<u4").tobytes()), strict=True):
                         col.append(v)
                     at += len(ids)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            yield rows(cols)
+            return k
 
-        now, held = None, []
+        now, used, held, whole = None, 0, [], 0
         for batch in batches:
-            for grp, doc, start, total, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if grp != now and held:
-                    yield from out(now, held)
+            single: list[list] = [[] for _ in range(7)]
+            for grp, doc, start, total, ids in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if grp is None:
+                    # full sequences are numbered above all groups, by task and place in it
+                    whole += 1
+                    for col, v in zip(single, (doc, start, seq_len, total, (1 << 62) + (here << 40) + whole, 0, np.frombuffer(ids, dtype).astype("<u4").tobytes()), strict=True):
+                        col.append(v)
+                    continue
+                if grp != now or len(held) == MOST_HELD:
+                    if held:
+                        used = yield from out(now, used, held)
+                    if grp != now:
+                        used = 0
                     held = []
                 now = grp
                 held.append((doc, start, total, np.frombuffer(ids, dtype)))
+            if single[0]:
+                yield rows(single)
         if held:
-            yield from out(now, held)
+            yield from out(now, used, held)
 
-    grp = F.pmod(F.xxhash64(F.lit("pack"), "doc_id"), F.lit(groups)).alias("grp")
+    # rows of one id but unlike texts are dealt apart
+    grp = F.pmod(F.xxhash64(F.lit("pack"), "doc_id", "text"), F.lit(groups)).alias("grp")
     cut = pairs_of(docs, id_col, text_col).select(grp, "doc_id", "text").mapInArrow(trimmed(pieces), PIECES)
-    n = min(groups, shuffle_partitions(spark))
-    return cut.repartition(n, "grp").sortWithinPartitions("grp", "doc_id", "start", "ids").mapInArrow(trimmed(packed), PACKED)
+    return cut.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("grp", "doc_id", "start", "ids").mapInArrow(trimmed(packed), PACKED)
