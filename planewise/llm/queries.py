@@ -13,7 +13,7 @@ from planewise.llm.common import fold, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 1 << 20
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planewise.llm.common import written
+from planewise.llm.common import remove, written
 
 BITS = 60
 LIMIT = 16 << 20
@@ -48,6 +48,7 @@ def directory(sizes: DataFrame, limit: int, step: int = 8) -> DataFrame:
             level = cells.groupBy(F.expr(f"shiftright(cell, {deep - d})").alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).withColumn("depth", F.lit(d))
             levels = level if levels is None else levels.union(level)
         levels = written(levels, "levels")
+        remove(cells)
         big = levels.where(F.col("bytes") > limit).select(F.col("prefix").alias("up"), (F.col("depth") + 1).alias("depth"))
         parent = levels.withColumn("up", F.expr("shiftright(prefix, 1)"))
         # a leaf fits (or has no bits left) and its parent does not; the first round's root has no parent
