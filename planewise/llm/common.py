@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -60,33 +62,55 @@ def trimmed(kernel: Callable) -> Callable:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only if it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs on one machine (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="planewise-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="planewise-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+_collected = [0.0]
+_EVERY_S = 10
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """What ``written`` made goes when the driver's program ends: until then, results may still read it."""
+    for spark, folder in _made:
+        try:
+            _delete(spark, folder)
+        except Exception:  # the session's JVM may be gone before us
+            return
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/planewise-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     # the shuffles behind it are done with: unreachable plans let Spark's cleaner delete their files
-    gc.collect()
-    spark._jvm.System.gc()
+    if time.monotonic() - _collected[0] > _EVERY_S:
+        gc.collect()
+        spark._jvm.System.gc()
+        _collected[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:
     """Delete the files of a table that ``written`` made and that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -108,6 +108,15 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, TOKENS).count() == 0
 
 
+def test_packing_of_hot_rows_and_giants(spark, monkeypatch):
+    """A group larger than a task may hold is packed in parts; full pieces belong to no group."""
+    monkeypatch.setattr(packing, "MOST_HELD", 16)
+    rows = [(1, _prose(8, 9000)), (None, "a b c")] * 2 + [(7, "same words in every row")] * 100 + [(100 + i, _prose(i, 30)) for i in range(50)]
+    got = packing.pack_documents(_docs(spark, rows), TOKENS, group_docs=10_000).collect()
+    _check_packed(got, rows)
+    assert sum(r.length == 2048 and r.offset == 0 for r in got) >= 2 * (max(r.doc_tokens for r in got) // 2048)
+
+
 def test_first_fit_decreasing_is_leftmost():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 101, 300).tolist()
@@ -378,6 +387,11 @@ def test_language(spark, docs, none):
     odd = langid.identify(spark.createDataFrame([(1, None), (2, ""), (3, "12 ### 4"), (4, "zqx wvp yjq " * 40), (None, _speech("aa", 999))], "doc_id long, text string"), models).collect()
     assert [(r.lang_pred, r.accepted) for r in odd[:3]] == [("und", False)] * 3 and odd[0].score == 0
     assert odd[3].lang_pred in models.langs and not odd[3].accepted and odd[4].lang_pred == "aa"
+    rng = np.random.default_rng(1)
+    junk = ["".join(rng.choice(list("bcdfghjqvwxz "), 300)) for _ in range(20)] + ["Это совсем другой язык и другие буквы " * 5, "x9 " * 60, "la lune est belle ce soir et nous marchons " * 6]
+    fresh = [_speech("ab"[i % 2] * 2, 5000 + i, 3 + i) for i in range(80)]
+    judged = {r.doc_id: r.accepted for r in langid.identify(_docs(spark, list(enumerate(junk + fresh))), models).collect()}
+    assert not any(judged[i] for i in range(len(junk))) and sum(judged[len(junk) + i] for i in range(80)) >= 78
     kept = langid.keep_known(table, models)
     assert kept.schema == table.schema and kept.count() == 200
     assert langid.identify(none, models).count() == 0
