@@ -10,7 +10,7 @@ log probability under every language, and one sorted array of context hashes wit
 log back-off weight, for n-grams no language has seen.  A text gets the language of the lowest cross-entropy
 per sign.  It is *rejected* if that is above the language's limit, or if no language was learned.  The limit is
 calibrated on one training text in ``CALIBRATION`` that was not counted: the median, plus so many deviations of the mean of
-as many signs (spread between texts and within them) as the 99.9th percentile of these texts shows, ``SLACK`` at least.
+as many signs (spread between texts, ``SPREAD`` nats at least, and within them) as the 99th percentile of these texts shows, ``SLACK`` at least.
 
 Counts are fitted on at most ``most_docs`` documents a language (a documented bound; by hash of the id); the n-gram types of that
 sample are what the driver holds and ships.
@@ -39,6 +39,8 @@ MOST_DOCS = 4000
 CALIBRATION = 5
 #: The least number of deviations a text may lie above its language's median.
 SLACK = 6.0
+#: The least deviation between long texts of a language: digits of secrets and passages of another language cost clean texts that much.
+SPREAD = 0.15
 _BASE = 0x9FB21C651E98DF25
 _letters: list[np.ndarray] = []
 
@@ -322,9 +324,9 @@ def train(docs: DataFrame, *, most_docs: int = MOST_DOCS, folds: int = 4, held_o
     fits = apart.mapInArrow(trimmed(measure), "lang string, h double, within double, n double, letters double").where("letters >= 100").toPandas()
     for name, x in fits.groupby("lang"):
         middle = float(x["h"].median())
-        between, within = float((x["h"] - middle).abs().median() * 1.4826) ** 2, float(x["within"].mean())
+        between, within = max(SPREAD, float((x["h"] - middle).abs().median() * 1.4826)) ** 2, float(x["within"].mean())
         z = (x["h"] - middle) / np.sqrt(between + within / x["n"])
-        models.limits[langs.index(name)] = middle, between, within, max(SLACK, float(z.quantile(0.999)))
+        models.limits[langs.index(name)] = middle, between, within, max(SLACK, float(z.quantile(0.99)))
     return models
 
 
