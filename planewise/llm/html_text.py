@@ -4,9 +4,11 @@ Each page is read once by a tolerant tag scanner into text blocks and container
 element's subtree hash covers its tag, its text and its children's hashes (attributes aside).  Spark
 counts on how many pages of unlike content each subtree occurs on a host; subtrees on ``least_pages`` and
 ``share`` of the host's contents or more (text blocks: ``least_block_pages`` and ``block_share``) are site template,
-and their blocks are deleted.  Copies of a page, told by their text without furniture by name, count once.  Parts whose tag, role or class names
-them as furniture go too, which matters on hosts of few pages.  Where a page marks its article (``article``, else ``main``), only blocks in
-it are text.  Its blocks may be quoted by many articles, so they are template only if they also stand
+and their blocks are deleted.  Copies of a page, told by their text without furniture by name, count once.  Elements whose tag or role, and
+containers whose class or id, name them as furniture go too, which matters for what differs from page to page and on hosts of few pages.  A class names
+furniture by a whole token, or by its last part but for words like ``box`` or ``list`` (``NAMES``, ``ENDS``, ``NEUTRAL``); inside an article only whole
+tokens for adverts, share boxes and readers' comments do (``INNER_NAMES``), and text blocks such as paragraphs never go by class.  Where a page marks its article
+(``article``, or ``main`` if it has more text outside articles than in them), only blocks in it are text.  Its blocks may be quoted by many articles, so they are template only if they also stand
 at the same place, one of the first or last ``PLACES`` blocks, on ``same_place`` of the pages that have them, or if they are on
 ``article_share`` of the host's contents wherever they stand; headings only by the latter, as near copies share their title.
 
@@ -14,7 +16,7 @@ Between the two passes a page travels as its compressed blocks; the hashes that
 by a join on (host, hash), so nothing is broadcast and no host meets in one task.
 
 Contract: null html is empty html and gives empty text; without a host in the url nothing is counted for the page;
-each of repeated rows gets its text; a null page id or url stays null; an empty table gives an empty one.
+each of repeated rows gets its text; a null page id or url stays null; pages are read whole; other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -51,13 +53,19 @@ NAMES = frozenset(
     "footer sidebar sidebars aside widget widgets comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations toolbar pagination pager skip copyright masthead topbar".split()
 )
+#: Last parts of compound names, such as ``site-footer``.
+ENDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar banner widget comments cookies consent notice popup modal newsletter toolbar pagination pager".split())
+#: Last parts that say nothing: ``comments-list`` is named by what is before them.
+NEUTRAL = frozenset("area bar block box button buttons container form items links list panel posts section slot unit wrap wrapper".split())
+#: Whole names that count inside an article as well.
+INNER_NAMES = frozenset("ad ads advert adverts advertisement sponsored share sharing newsletter comments commentlist comment-list disqus disqus_thread respond".split())
 OUTER_NAMES = frozenset("header headers".split())
 #: A start tag of one of these ends an open one of the same list.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|\Z)|/?[a-zA-Z][^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[-_]+")
 _SALTS = 32
 #: Kinds of subtrees.
 CONTAINER, BLOCK, ARTICLE_BLOCK, ARTICLE_HEADING = range(4)
@@ -65,6 +73,14 @@ CONTAINER, BLOCK, ARTICLE_BLOCK, ARTICLE_HEADING = range(4)
 PLACES = 3
 
 
+def _named(token: str) -> bool:
+    """Whether a class or id names furniture."""
+    parts = [p for p in _PART.split(token) if p]
+    while len(parts) > 1 and parts[-1] in NEUTRAL:
+        parts.pop()
+    return bool(parts) and parts[-1] in (NAMES if len(parts) == 1 else ENDS)
+
+
 def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in FURNITURE or tag == "header" and not in_article:
         return True
@@ -73,8 +89,13 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id"):
-            words = set(_WORD.findall(value))
-            if words & NAMES or not in_article and words & OUTER_NAMES:
+            if tag in TEXT_BLOCKS:
+                continue
+            tokens = value.split()
+            if in_article:
+                if not INNER_NAMES.isdisjoint(tokens):
+                    return True
+            elif any(_named(t) or t in OUTER_NAMES for t in tokens):
                 return True
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -178,7 +199,8 @@ def scan(page: str) -> tuple[list[str], list[tuple[int, int, int, int]]]:
     while len(stack) > 1:
         close()
     own = [b for b in blocks if not b[3]]
-    place = next((p for p in (1, 2) if any(b[p] for b in own)), 0)  # the article, else the main part, else everything
+    inside, beside = (sum(len(b[0]) for b in own if (b[1] if article else b[2] and not b[1])) for article in (True, False))
+    place = 2 if beside > inside else 1 if inside else 0  # the main part, the article, everything
     return ["" if named or place and not (article, main)[place - 1] else line for line, article, main, named in blocks], subtrees
 
 
@@ -201,7 +223,7 @@ def _found(host: str, blocks: list[str], subtrees: list[tuple[int, int, int, int
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, least_block_pages: int = 10, share: float = 0.005, block_share: float = 0.02, article_share: float = 0.3, same_place: float = 0.9) -> DataFrame:
-    """(page_id, url, text, removed) of every page; ``removed`` counts the blocks found to be site template."""
+    """(page_id, url, text, removed) of every page; ``removed`` counts the text blocks deleted because they recur."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.select("page_id", "url", F.xxhash64("page_id", "url", "html").alias("k"), host.alias("host"), "html")
@@ -228,7 +250,7 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
                 blocks, ranges = json.loads(zlib.decompress(packed))
                 gone = {i for d, a, z in ranges if hits and d in hits for i in range(a, z)}
                 texts.append("\n".join(b for i, b in enumerate(blocks) if b and i not in gone))
-                removed.append(len(gone))
+                removed.append(sum(1 for i in gone if blocks[i]))
             yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["page_id", "url", "text", "removed"])
 
     parsed = rows.mapInArrow(trimmed(parse), "page_id long, url string, k long, host string, packed binary, content long, digests array<long>, places array<byte>")

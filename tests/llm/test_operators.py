@@ -330,6 +330,41 @@ def _texts(spark, rows):
     return {r.page_id: r.text for r in html_text.extract_text(df).collect()}
 
 
+def test_html_class_words_keep_article_text():
+    kept = ['<p class="ad-hoc">one</p>', '<div class="share-price">two</div>', '<section class="social-science"><p>three</p></section>', '<p id="notice-period">four</p>', '<div class="related"><p>five</p></div>']
+    gone = ['<div class="ad"><p>x</p></div>', '<section id="comments"><p>y</p></section>', "<aside>z</aside>"]
+    blocks, _ = html_text.scan("<article>" + "".join(kept) + "".join(gone) + "</article>")
+    assert [b for b in blocks if b] == ["one", "two", "three", "four", "five"]
+    outside = ['<div class="site-footer">x</div>', '<div class="comments-list">y</div>', '<ul class="top-menu"><li>z</li></ul>', '<div id="cookie-notice">w</div>', '<div class="header">v</div>']
+    blocks, _ = html_text.scan("<body>" + "".join(kept[:4]) + "".join(outside) + "</body>")
+    assert [b for b in blocks if b] == ["one", "two", "three", "four"]
+    blocks, _ = html_text.scan("<main><p>The long text of the page itself.</p><article>card</article><article>card</article></main>")
+    assert [b for b in blocks if b] == ["The long text of the page itself.", "card", "card"]
+
+
+@pytest.mark.parametrize("article", [False, True])
+def test_html_recurrence_by_brute_force(spark, article):
+    """Unnamed parts go by how many unlike pages of their host have them, and by nothing else."""
+    rng = np.random.default_rng(9)
+    lines = [f"line {k} {_prose(k, 6)}" for k in range(30)]
+    pages = []
+    for i in range(120):
+        some = [lines[k] for k in rng.permutation(30) if rng.random() < (k + 1) / 60]
+        own = [_prose(10_000 + i * 5 + j, 12) for j in range(3)]
+        pages.append((f"http://h{i % 2}.org/{i}", [str(x) for x in rng.permutation([*some, *own])]))
+    pages += [(url + "?print", blocks) for url, blocks in pages[:30]]  # copies count once
+    html = lambda blocks: ("<article>{}</article>" if article else "<body>{}</body>").format("".join(f"<div><p>{b}</p></div>" for b in blocks))
+    got = spark.createDataFrame([(i, url, html(blocks)) for i, (url, blocks) in enumerate(pages)], "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r for r in html_text.extract_text(got).collect()}
+    contents = {h: {tuple(b) for u, b in pages if u.startswith(f"http://{h}")} for h in ("h0.org", "h1.org")}
+    for i, (url, blocks) in enumerate(pages):
+        host = contents[url.split("/")[2]]
+        often = {b: sum(b in c for c in host) for b in blocks}
+        stay = [b for b in blocks if often[b] < max(3, 0.005 * len(host))]
+        assert got[i].text == "\n".join(stay) and got[i].removed == len(blocks) - len(stay)
+    assert any(r.removed for r in got.values()) and any(f"line {k} " in r.text for r in got.values() for k in range(30))
+
+
 def test_html_copies_of_a_page_are_one(spark):
     plain = "<body><div><h1>Head</h1><p>Told once</p></div></body>"
     article = "<body><article><div class=body><h1>Head</h1><p>Told in an article</p></div></article>{}</body>"
