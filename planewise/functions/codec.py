@@ -29,6 +29,12 @@ BLOCK, BLOCKS_FROM = 1 << 20, 4 << 20
 CHUNK = 2 << 20
 #: Thresholds of the candidate gates.
 RANS_GATE, RANS_GAIN, RANS_FLAT, BLOCKS_SLACK, OPAQUE_GATE, FIELDS_SLACK = 0.80, 0.99, 0.995, 1.01, 0.95, 1.01
+#: Of the tier ``max``: all entropy coders are tried below this share; of more than two transforms the two smallest at level 1 stay.
+MAX_GATE, MAX_TRANSFORMS, PRUNED_FROM = 0.75, 2, 1 << 20
+#: Other codecs are tried without ``auto`` only if the first one leaves this share.
+ALTERNATIVES_GATE = 0.98
+#: Of turbo: streams above this length are stored if a level-1 look leaves more than the first share, any if coding leaves the second.
+TURBO_PROBED, TURBO_FLAT, TURBO_KEEP = 1 << 18, 0.97, 0.99
 ORDER1_LENGTH, ORDER1_SYMBOLS = 1 << 16, 64
 SPARSE_SHARE, PALETTE_MOST = 0.10, 256
 EFFORTS = ("fast", "balanced", "max")
@@ -95,30 +101,65 @@ class Plane:
     orig_len: int
 
 
-def compress_plane(raw: bytes, level: int = 3, effort: str = "balanced") -> Plane:
-    """The smallest of the byte coders whose gate opens."""
+@dataclass
+class Plan:
+    """How a plane will be coded; an entropy coder's size is an estimate until ``plane`` runs it."""
+
+    raw: bytes
+    best: Plane
+    size: float
+    mode: int | None = None
+    counts: np.ndarray | None = None
+
+    def plane(self) -> Plane:
+        if self.mode is not None:
+            coded = rans.encode(np.frombuffer(self.raw, np.uint8), self.mode, self.counts)
+            if len(coded) < len(self.best.data):
+                self.best = Plane(_RANS[self.mode], coded, len(self.raw))
+            self.mode, self.counts, self.size = None, None, len(self.best.data)
+        return self.best
+
+
+_RANS = {rans.ORDER0: RANS, rans.ADAPTIVE: RANS_ADAPTIVE, rans.ORDER1: RANS_ORDER1}
+
+
+def plan_plane(raw: bytes, level: int = 3, effort: str = "balanced") -> Plan:
+    """The smallest of the byte coders whose gate opens; entropy coders are compared by what their counts promise."""
     if not raw:
-        return Plane(STORE, b"", 0)
-    plane = np.frombuffer(raw, np.uint8)
+        return Plan(raw, Plane(STORE, b"", 0), 0)
     best = Plane(ZSTD, zstd_compress(raw, level), len(raw))
-    if len(raw) >= BLOCKS_FROM:
+    if len(best.data) >= len(raw):
+        best = Plane(STORE, raw, len(raw))
+    plan = Plan(raw, best, len(best.data))
+    if effort != "fast":
+        _plan_rans(plan, effort)
+    if plan.mode is None and best.method == ZSTD and len(raw) >= BLOCKS_FROM:
         blocks = blocks_compress(raw, level)
         if len(blocks) <= BLOCKS_SLACK * len(best.data):
-            best = Plane(ZSTD_BLOCKS, blocks, len(raw))
-    thorough = effort == "max"
-    ideal = order0_bytes(plane) if effort != "fast" else 0.0
+            plan.best, plan.size = Plane(ZSTD_BLOCKS, blocks, len(raw)), len(blocks)
+    return plan
+
+
+def _plan_rans(plan: Plan, effort: str) -> None:
+    """Let an entropy coder replace the plan's plane if its counts promise less."""
+    raw, best = plan.raw, plan.best
+    plane = np.frombuffer(raw, np.uint8)
+    modes = rans.estimates(plane, (rans.ADAPTIVE, rans.ORDER0))
+    whole = modes[rans.ORDER0][1][0]
+    n = whole[whole > 0]
+    ideal = float(-(n * np.log2(n / n.sum())).sum() / 8)
+    thorough = effort == "max" and len(best.data) <= MAX_GATE * len(raw)
     # a plane of nearly uniform bytes has nothing to gain
-    if effort != "fast" and (thorough or RANS_FLAT * len(raw) > ideal and len(best.data) >= RANS_GATE * ideal):
-        need = len(best.data) if thorough else int(len(best.data) * RANS_GAIN)
-        coded = rans.encode(plane, rans.ADAPTIVE)
-        if len(coded) < need:
-            best = Plane(RANS_ADAPTIVE, coded, len(raw))
-        if len(raw) >= ORDER1_LENGTH and np.count_nonzero(np.bincount(plane, minlength=256)) <= ORDER1_SYMBOLS:
-            need = len(best.data) if thorough else int(len(best.data) * RANS_GAIN)
-            coded = rans.encode(plane, rans.ORDER1)
-            if len(coded) < need:
-                best = Plane(RANS_ORDER1, coded, len(raw))
-    return best if len(best.data) < len(raw) else Plane(STORE, raw, len(raw))
+    if thorough or RANS_FLAT * len(raw) > ideal and len(best.data) >= RANS_GATE * ideal:
+        if len(raw) >= ORDER1_LENGTH and len(n) <= ORDER1_SYMBOLS:
+            modes |= rans.estimates(plane, (rans.ORDER1,))
+        mode, (size, counts) = min(modes.items(), key=lambda m: m[1][0])
+        if size < len(best.data) * (1 if thorough else RANS_GAIN):
+            plan.mode, plan.counts, plan.size = mode, counts, size
+
+
+def compress_plane(raw: bytes, level: int = 3, effort: str = "balanced") -> Plane:
+    return plan_plane(raw, level, effort).plane()
 
 
 def decompress_plane(p: Plane) -> bytes:
@@ -165,13 +206,13 @@ def split_fields(raw: bytes, dtype: str, pack: bool = False) -> tuple[list[bytes
     kind, exp, man = _FIELDS[dtype]
     width = np.dtype(kind).itemsize
     n = len(raw) // width
-    u = np.frombuffer(raw, kind, n).astype(np.uint32)
+    u = np.frombuffer(raw, kind, n)
     mantissa = u & ((1 << man) - 1)
     if pack:
-        bit = (mantissa[:, None] >> np.arange(man - 1, -1, -1, dtype=np.uint32)) & 1
+        bit = (mantissa[:, None] >> np.arange(man - 1, -1, -1, dtype=u.dtype)) & 1
         streams = [np.packbits(bit.astype(np.uint8).ravel()).tobytes()]
     else:
-        streams = [((mantissa >> (8 * j)) & 255).astype(np.uint8).tobytes() for j in range(-(-man // 8))]
+        streams = [(mantissa >> (8 * j)).astype(np.uint8).tobytes() for j in range(-(-man // 8))]  # the low eight bits
     signs = np.packbits((u >> (exp + man)).astype(np.uint8)).tobytes()
     return [signs, ((u >> man) & ((1 << exp) - 1)).astype(np.uint8).tobytes(), *streams], raw[n * width :]
 
@@ -248,9 +289,19 @@ def palette_gate(raw: bytes, width: int, most: int = PALETTE_MOST) -> bool:
 # -- frames -------------------------------------------------------------------------------------
 
 
-def _frame(kind: str, head: dict, streams: list[bytes], tail: bytes, level: int, effort: str) -> bytes:
-    planes = [compress_plane(s, level, effort) for s in streams]
-    return _build(FRAME, head | {"kind": kind, "tail": len(tail), "planes": [[p.method, p.orig_len, len(p.data)] for p in planes]}, [tail, *(p.data for p in planes)])
+class Candidate:
+    """A frame to be: ``len`` is its size as planned, ``build`` codes it."""
+
+    def __init__(self, kind: str, head: dict, streams: list[bytes], tail: bytes, level: int, effort: str):
+        self.kind, self.head, self.tail = kind, head, tail
+        self.plans = [plan_plane(s, level, effort) for s in streams]
+
+    def __len__(self) -> int:
+        return int(sum(p.size for p in self.plans)) + len(self.tail) + 32 * len(self.plans)
+
+    def build(self) -> bytes:
+        planes = [p.plane() for p in self.plans]
+        return _build(FRAME, self.head | {"kind": self.kind, "tail": len(self.tail), "planes": [[p.method, p.orig_len, len(p.data)] for p in planes]}, [self.tail, *(p.data for p in planes)])
 
 
 def _build(magic: bytes, head: dict, payload: list[bytes]) -> bytes:
@@ -276,30 +327,38 @@ def parse(blob: bytes, magic: bytes | None = None) -> tuple[bytes, dict, memoryv
     return found, head, memoryview(blob)[_PREFIX.size + size :]
 
 
-def _candidates(raw: bytes, code: str, width: int, transform: str, level: int, effort: str, auto: bool, head: dict) -> list[tuple[str, bytes]]:
+def _pruned(splits: list[tuple[str, list[bytes], bytes]], most: int = MAX_TRANSFORMS) -> list[tuple[str, list[bytes], bytes]]:
+    """The transforms whose streams are smallest at level 1, in the order given."""
+    size = {kind: sum(len(zstd_compress(s, 1)) for s in streams if s) for kind, streams, _ in splits}
+    keep = sorted(size, key=size.get)[:most]
+    return [x for x in splits if x[0] in keep]
+
+
+def _candidates(raw: bytes, code: str, width: int, transform: str, level: int, effort: str, auto: bool, head: dict) -> list[tuple[str, Candidate]]:
     """(codec, frame) in order of preference; the first is the primary one."""
-    make = lambda kind, split, extra=None: (kind, _frame(kind, head | (extra or {}), *split, level, effort))
-    opaque = lambda: ("opaque", _frame("opaque", head, [raw], b"", max(level, 3), effort))
+    make = lambda kind, streams, tail=b"": (kind, Candidate(kind, head, streams, tail, level, effort))
     if transform == "opaque" or width == 1:
-        return [opaque()] + ([make("sparse", split_sparse(raw, 1))] if auto and sparse_gate(raw, 1) else [])
-    out = [make("byteplane", split_planes(raw, width))]
-    if transform == "fields":
-        out.append(make("fields", split_fields(raw, code)))
+        return [make("opaque", [raw])] + ([make("sparse", *split_sparse(raw, 1))] if auto and sparse_gate(raw, 1) else [])
+    splits = [("byteplane", *split_planes(raw, width))]
+    if transform == "fields" or effort == "max" and code in _FIELDS:
+        splits.append(("fields", *split_fields(raw, code)))
     if effort == "max" and code in _FIELDS:
-        out += [make("fields", split_fields(raw, code))] * (transform != "fields")
-        out.append(make("bitpack", split_fields(raw, code, pack=True)))
-    if auto:
-        smallest = min(len(f) for _, f in out)
+        splits.append(("bitpack", *split_fields(raw, code, pack=True)))
+    if len(splits) > MAX_TRANSFORMS and len(raw) >= PRUNED_FROM:
+        splits = _pruned(splits)
+    out = [make(*x) for x in splits]
+    smallest = min(len(f) for _, f in out)
+    if auto or smallest >= ALTERNATIVES_GATE * len(raw):
         if len(raw) < 1 << 20 or smallest >= OPAQUE_GATE * len(raw) or len(zstd_compress(raw, -3)) < smallest:
-            out.append(opaque())
+            out.append(make("opaque", [raw]))
         if sparse_gate(raw, width):
-            out.append(make("sparse", split_sparse(raw, width)))
+            out.append(make("sparse", *split_sparse(raw, width)))
         if palette_gate(raw, width):
-            out.append(make("palette", split_palette(raw, width)))
+            out.append(make("palette", *split_palette(raw, width)))
     return out
 
 
-def choose(candidates: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+def choose(candidates: list[tuple]) -> tuple:
     """The smallest, the first of equals; byte planes within one per cent of it are taken before fields, as they decode faster."""
     best = min(candidates, key=lambda c: len(c[1]))
     if best[0] in ("fields", "bitpack"):
@@ -327,7 +386,7 @@ def compress(data, *, dtype: str | None = None, level: int = 3, effort: str = "b
     head |= {"dtype": d.code, "width": d.width, "orig_len": len(raw)}
     if effort == "max":
         level = max(level, 19)
-    return choose(_candidates(raw, d.code, d.width, d.transform, level, effort, auto, head))[1]
+    return choose(_candidates(raw, d.code, d.width, d.transform, level, effort, auto, head))[1].build()
 
 
 def _planes(head: dict, payload: memoryview) -> tuple[bytes, list[bytes]]:
@@ -423,12 +482,25 @@ def _decode_chunks(head: dict, payload: memoryview) -> bytes:
     return whole
 
 
+def _turbo_plane(raw: bytes, level: int) -> Plane:
+    """zstd, or the bytes as they are; long streams that a cheap look over their whole length cannot shrink are not tried."""
+    if len(raw) > TURBO_PROBED and len(zstd_compress(raw, 1)) > TURBO_FLAT * len(raw):
+        return Plane(STORE, raw, len(raw))
+    coded = zstd_compress(raw, level) if raw else b""
+    return Plane(ZSTD, coded, len(raw)) if len(coded) < TURBO_KEEP * len(raw) else Plane(STORE, raw, len(raw))
+
+
 def turbo_compress(data: bytes, *, dtype: str | None = None, level: int = 3) -> bytes:
     """Planes or opaque, whichever is smaller, without entropy coders; bytes that do not shrink are stored."""
     d, raw = dtype_of(dtype), bytes(data)
     head = {"dtype": d.code, "width": d.width, "orig_len": len(raw)}
-    opaque = _frame("opaque", head, [raw], b"", level, "fast")
-    return opaque if d.width == 1 else choose([("byteplane", _frame("byteplane", head, *split_planes(raw, d.width), level, "fast")), ("opaque", opaque)])[1]
+
+    def frame(kind: str, streams: list[bytes], tail: bytes = b"") -> tuple[str, bytes]:
+        planes = [_turbo_plane(s, level) for s in streams]
+        return kind, _build(FRAME, head | {"kind": kind, "tail": len(tail), "planes": [[p.method, p.orig_len, len(p.data)] for p in planes]}, [tail, *(p.data for p in planes)])
+
+    opaque = frame("opaque", [raw])
+    return opaque[1] if d.width == 1 else choose([frame("byteplane", *split_planes(raw, d.width)), opaque])[1]
 
 
 # -- delta --------------------------------------------------------------------------------------

@@ -61,32 +61,74 @@ def _tables(mode: int, lanes: int, steps: int, symbols: np.ndarray | None = None
     return None, 256
 
 
-def encode(plane: np.ndarray, mode: int = ADAPTIVE) -> bytes:
-    """Code a uint8 array."""
-    bits = 12 if mode == ORDER1 else 14
+def _model(plane: np.ndarray, mode: int) -> np.ndarray:
+    """(tables, 256) symbol counts of the lanes' part of a plane."""
     lanes, steps = _layout(len(plane))
-    body = plane[: lanes * steps].reshape(lanes, steps).T.astype(np.int64)
-    of, count = _tables(mode, lanes, steps)
     if mode == ORDER1:
-        prev = np.zeros_like(body)
-        prev[1:] = body[:-1]
-        pairs = np.bincount((prev * 256 + body).ravel(), minlength=65536).reshape(256, 256)
-    else:
-        pairs = np.bincount((of[None, :] * 256 + body).ravel(), minlength=count * 256).reshape(count, 256)
-    freq = np.stack([normalise(row, bits) for row in pairs])
-    cum = np.cumsum(freq, axis=1) - freq
-    x = np.full(lanes, _LOW, np.uint64)
-    flat_f, flat_c = freq.ravel().astype(np.uint64), cum.ravel().astype(np.uint64)
+        body = plane[: lanes * steps].reshape(lanes, steps)
+        key = body.astype(np.uint16)
+        key[:, 1:] |= body[:, :-1].astype(np.uint16) << np.uint16(8)
+        return np.bincount(key.ravel(), minlength=65536).reshape(256, 256)
+    of, count = _tables(mode, lanes, steps)
+    edge = np.searchsorted(of, np.arange(count + 1)) * steps
+    return np.stack([np.bincount(plane[a:z], minlength=256) for a, z in zip(edge[:-1], edge[1:], strict=True)])
+
+
+def estimate(counts: np.ndarray, length: int) -> float:
+    """About how many bytes a plane of ``length`` with these counts is coded in: entropy, model, states."""
+    lanes, steps = _layout(length)
+    total = counts.sum(axis=1, keepdims=True)
+    n, of = counts[counts > 0], np.broadcast_to(total, counts.shape)[counts > 0]
+    return float(-(n * np.log2(n / of)).sum() / 8) + 1.6 * len(n) + 4 * lanes + _HEAD.size + 16 + length - lanes * steps
+
+
+def estimates(plane: np.ndarray, modes: tuple[int, ...]) -> dict[int, tuple[float, np.ndarray]]:
+    """(estimate, counts) by mode, without coding."""
+    out: dict[int, tuple[float, np.ndarray]] = {}
+    for mode in modes:
+        counts = out[ADAPTIVE][1].sum(axis=0, keepdims=True) if mode == ORDER0 and ADAPTIVE in out else _model(plane, mode)
+        out[mode] = estimate(counts, len(plane)), counts
+    return out
+
+
+def encode(plane: np.ndarray, mode: int = ADAPTIVE, counts: np.ndarray | None = None) -> bytes:
+    """Code a uint8 array; ``counts`` are those of ``estimates``, if known."""
+    bits = 12 if mode == ORDER1 else 14
+    lanes, steps = _layout(len(plane))
+    body = np.ascontiguousarray(plane[: lanes * steps].reshape(lanes, steps).T)
+    of, _ = _tables(mode, lanes, steps)
+    freq = np.stack([normalise(row, bits) for row in (_model(plane, mode) if counts is None else counts)])
+    # states are whole numbers below 2**32, which doubles hold and divide exactly (quotients are at least 2**-32 from the next whole number)
+    share, start = freq.ravel().astype(float), (np.cumsum(freq, axis=1) - freq).ravel().astype(float)
+    x = np.full(lanes, float(_LOW))
+    base = None if of is None else of.astype(np.intp) * 256
+    at, f, c, q = np.empty(lanes, np.intp), np.empty(lanes), np.empty(lanes), np.empty(lanes)
+    full = np.empty(lanes, bool)
     words: list[np.ndarray] = []
-    shift = np.uint64(32 - bits)
+    limit, size = float(1 << 32 - bits), float(1 << bits)
     for t in range(steps - 1, -1, -1):
-        at = (body[t - 1] if t else 0) * 256 + body[t] if mode == ORDER1 else of * 256 + body[t]
-        f = flat_f[at]
-        full = x >= f << shift
-        words.append(x[full].astype("<u2"))
-        x[full] >>= np.uint64(16)
-        q = x // f
-        x = (q << np.uint64(bits)) + (x - q * f) + flat_c[at]
+        if base is not None:
+            np.add(base, body[t], out=at)
+        elif t:
+            np.multiply(body[t - 1], 256, out=at, dtype=np.intp)
+            at += body[t]
+        else:
+            at[:] = body[0]
+        share.take(at, out=f, mode="clip")
+        start.take(at, out=c, mode="clip")
+        np.multiply(f, limit, out=q)
+        np.greater_equal(x, q, out=full)
+        high = full.nonzero()[0]
+        if len(high):
+            some = x[high].astype(np.int64)
+            words.append(some.astype("<u2"))
+            x[high] = some >> 16
+        np.divide(x, f, out=q)
+        np.floor(q, out=q)
+        np.subtract(size, f, out=f)  # x + q * (size - f) + c is q * size + (x - q * f) + c
+        np.multiply(q, f, out=q)
+        x += q
+        x += c
     out = np.concatenate(words[::-1]) if words else np.zeros(0, "<u2")
     model = zstandard.ZstdCompressor(level=19 if mode == ORDER1 else 3).compress(freq.astype("<u2").tobytes())
     return _HEAD.pack(mode, bits, lanes, steps, len(model), len(out)) + model + x.astype("<u4").tobytes() + out.tobytes() + plane[lanes * steps :].tobytes()
@@ -113,32 +155,36 @@ def decode(data: bytes, length: int) -> np.ndarray:
     if not np.isin(freq.sum(axis=1), (0, 1 << bits)).all():
         raise ValueError("damaged rANS model")
     at += model_len
-    x = np.frombuffer(data, "<u4", lanes, at).astype(np.uint64)
-    words = np.frombuffer(data, "<u2", words_len, at + 4 * lanes).astype(np.uint64)
+    x = np.frombuffer(data, "<u4", lanes, at).astype(np.int64)
+    words = np.frombuffer(data, "<u2", words_len, at + 4 * lanes).astype(np.int64)
     size = 1 << bits
     symbol = np.zeros((count, size), np.uint8)
     for k, row in enumerate(freq):
         if row.any():
             symbol[k] = np.repeat(np.arange(256, dtype=np.uint8), row)
-    cum = (np.cumsum(freq, axis=1) - freq).ravel().astype(np.uint64)
-    flat_f, symbol = freq.ravel().astype(np.uint64), symbol.ravel()
+    cum, flat_f, symbol = (np.cumsum(freq, axis=1) - freq).ravel(), freq.ravel(), symbol.ravel()
     out = np.empty((steps, lanes), np.uint8)
     prev = np.zeros(lanes, np.int64)
-    place, mask = 0, np.uint64(size - 1)
+    if of is not None:
+        wide, narrow = of.astype(np.int64) * size, of.astype(np.int64) * 256
+    place, mask = 0, size - 1
     for t in range(steps):
-        table = prev if mode == ORDER1 else of
         slot = x & mask
-        s = symbol[table * size + slot.astype(np.int64)]
-        key = table * 256 + s
-        x = flat_f[key] * (x >> np.uint64(bits)) + slot - cum[key]
-        low = np.flatnonzero(x < _LOW)
+        s = symbol[(prev << bits if mode == ORDER1 else wide) + slot]
+        key = (prev << 8 if mode == ORDER1 else narrow) + s
+        x >>= bits
+        x *= flat_f[key]
+        x += slot
+        x -= cum[key]
+        low = (x < _LOW).nonzero()[0]
         if len(low):
             if place + len(low) > words_len:
                 raise ValueError("truncated rANS stream")
-            x[low] = (x[low] << np.uint64(16)) | words[place : place + len(low)]
+            x[low] = (x[low] << 16) | words[place : place + len(low)]
             place += len(low)
         out[t] = s
-        prev = s.astype(np.int64)
+        if mode == ORDER1:
+            prev = s.astype(np.int64)
     if place != words_len or (x != _LOW).any():
         raise ValueError("damaged rANS stream")
     return np.concatenate([out.T.ravel(), np.frombuffer(data, np.uint8, tail, len(data) - tail)])
