@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,14 +29,78 @@ def _f32(x: pd.Series) -> pd.Series:
     return pd.Series(np.ascontiguousarray(x.to_numpy(np.float32)).view(np.uint32).astype(np.int64))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _f32_array(x: pd.Series) -> pd.Series:
-    return x.map(lambda a: None if a is None else np.ascontiguousarray(a, np.float32).view(np.uint32).astype(np.int64))
+def _lists(x: pa.Array, make) -> pa.Array:
+    """A list array whose flat values went through ``make``; lists and elements that are null stay so."""
+    values = x.values
+    flat = make(values.fill_null(0) if values.null_count else values)
+    return pa.ListArray.from_arrays(x.offsets.cast(pa.int32()), pa.array(flat, pa.int64(), mask=np.asarray(values.is_null()) if values.null_count else None), mask=x.is_null() if x.null_count else None)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _f64_array(x: pd.Series) -> pd.Series:
-    return x.map(lambda a: None if a is None else np.ascontiguousarray(a, np.float64).view(np.int64))
+def _f32_flat(v: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(v.to_numpy(zero_copy_only=False), np.float32).view(np.uint32).astype(np.int64)
+
+
+def _f64_flat(v: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(v.to_numpy(zero_copy_only=False), np.float64).view(np.int64)
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _f32_array(x: pa.Array) -> pa.Array:
+    return _lists(x, _f32_flat)
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _f64_array(x: pa.Array) -> pa.Array:
+    return _lists(x, _f64_flat)
+
+
+def _bytes_of(x: pa.Array, kind: str) -> pa.Array:
+    """Each list of patterns as little-endian bytes: one buffer, cut at the lists' offsets."""
+    width = np.dtype(kind).itemsize
+    off = x.offsets.to_numpy().astype(np.int64)
+    flat = x.values.slice(off[0], off[-1] - off[0]).to_numpy(zero_copy_only=False).astype(kind)
+    off = ((off - off[0]) * width).astype(np.int64)
+    valid = None if not x.null_count else pa.array(np.asarray(x.is_valid())).buffers()[1]
+    return pa.Array.from_buffers(pa.large_binary(), len(x), [valid, pa.py_buffer(off), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def _patterns_of(x: pa.Array, kind: str) -> pa.Array:
+    """The inverse of ``_bytes_of``; bytes that fill no element are left out."""
+    width = np.dtype(kind).itemsize
+    rows = [np.frombuffer(b.as_buffer(), kind, len(b.as_buffer()) // width) if b.is_valid else np.zeros(0, kind) for b in x]
+    off = np.cumsum([0, *map(len, rows)])
+    flat = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int64()), mask=x.is_null() if x.null_count else None)
+
+
+@F.arrow_udf(T.BinaryType())
+def _pack_u32(x: pa.Array) -> pa.Array:
+    return _bytes_of(x, "<u4")
+
+
+@F.arrow_udf(T.BinaryType())
+def _pack_i64(x: pa.Array) -> pa.Array:
+    return _bytes_of(x, "<i8")
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _unpack_u32(x: pa.Array) -> pa.Array:
+    return _patterns_of(x, "<u4")
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _unpack_i64(x: pa.Array) -> pa.Array:
+    return _patterns_of(x, "<i8")
+
+
+def packed_patterns(us: Column, width: int) -> Column:
+    """An array of patterns of 4 or 8 bytes as little-endian bytes."""
+    return {4: _pack_u32, 8: _pack_i64}[width](us)
+
+
+def unpacked_patterns(raw: Column, width: int) -> Column:
+    """The patterns of 4 or 8 bytes of a binary column."""
+    return {4: _unpack_u32, 8: _unpack_i64}[width](raw)
 
 
 def f64_bits(c: Column) -> Column:

@@ -9,18 +9,31 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from planewise.functions import checkpoint, codec
-from planewise.operators import container
+from planewise.functions import codec
 
 #: Rows of one Arrow batch that are coded before results go out; payloads are large, so few.
 _ROWS = 64
 
 
+#: Rows and bytes of an Arrow batch that a worker holds.
+BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower Spark's 10,000 rows a batch, of whatever size, for sessions that still have them: rows here are tensors."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    held = spark.conf.get(size).rstrip("bB")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, added: str, kernel: Callable[[dict], tuple], drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` without ``drop`` and with the columns ``added`` (DDL) that ``kernel`` makes of each row."""
     kept = [f for f in df.schema.fields if f.name not in drop]
@@ -37,6 +50,7 @@ def map_rows(df: DataFrame, added: str, kernel: Callable[[dict], tuple], drop: t
                 cols = [pa.array(list(c), k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part[f.name] for f in kept), *cols], names=names)
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -79,33 +93,8 @@ def chunks(tensors: DataFrame, size: int = 16 << 20) -> DataFrame:
 def join_chunks(parts: DataFrame, *keys: str) -> DataFrame:
     """The inverse of ``chunks``."""
     joined = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "raw"))).alias("parts"))
-    return joined.select(*keys, F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["raw"])).alias("raw"))
-
-
-def encode_checkpoint(tensors: DataFrame, *, level: int = 3, effort: str = "balanced") -> DataFrame:
-    """(ordinal, name, dtype, raw) to the container table (ordinal, name, dtype, kind, ref, codec, orig_len, comp_len, payload).
-
-    Equal tensors are found first, so each distinct one is coded once; a REF row has no payload.
-    """
-    kinds = container.dedup(tensors.select("ordinal", "raw")).select("ordinal", "kind", "ref")
-    marked = tensors.select("ordinal", "name", "dtype", F.octet_length("raw").cast("long").alias("bytes"), "raw").join(kinds, "ordinal")
-    typed = marked.withColumn("dtype", F.upper("dtype"))
-
-    def kernel(row: dict) -> tuple:
-        if row["kind"] == "REF":
-            return "ref", 0, b""
-        frame = codec.compress(row["raw"] or b"", dtype=checkpoint.codec_dtype(row["dtype"]), level=level, effort=effort)
-        return codec.info(frame)["kind"], len(frame), frame
-
-    return map_rows(typed, "codec string, comp_len long, payload binary", kernel, ("raw",))
-
-
-def read_tensors(store: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(ordinal, name, raw) of a container table; with names the filter reaches the scan of the index, and only the frames these need are decoded."""
-    wanted = store.where(F.col("name").isin(names)) if names is not None else store
-    source = wanted.select("ordinal", "name", F.coalesce("ref", "ordinal").alias("source"))
-    frames = store.where("kind = 'FRAME'").select(F.col("ordinal").alias("source"), "payload")
-    return decode(source.join(frames, "source")).select("ordinal", "name", "raw")
+    # spelt and unspelt: linear in the bytes, where a running concatenation copies them again for each chunk
+    return joined.select(*keys, F.unhex(F.concat_ws("", F.transform("parts", lambda x: F.hex(x["raw"])))).alias("raw"))
 
 
 def encode_delta(pairs: DataFrame, *, level: int = 3) -> DataFrame:

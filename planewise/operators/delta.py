@@ -12,6 +12,16 @@ def xor(current: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
     return current.join(other, keys).select(*keys, F.col("u").bitwiseXOR(F.col("r")).alias("u"))
 
 
+def xor_arrays(current: DataFrame, reference: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., us): arrays of patterns XORed place by place; tensors or chunks are joined, never their elements.
+
+    Arrays of unlike length are no pair (the gate of the delta codec) and are left out.
+    """
+    other = reference.select(*keys, F.col("us").alias("rs"))
+    joined = current.join(other, list(keys)).where(F.size("us") == F.size("rs"))
+    return joined.select(*keys, F.zip_with("us", "rs", lambda a, b: a.bitwiseXOR(b)).alias("us"))
+
+
 def classify(target: DataFrame, base: DataFrame) -> DataFrame:
     """(name, kind, length): COPY if name, type and bytes are equal, DELTA if name, type and length are, else FULL.
 

@@ -27,10 +27,18 @@ def codebook(elements: DataFrame, *keys: str) -> DataFrame:
     return distinct.withColumn("idx", F.dense_rank().over(by.orderBy(unsigned_key(F.col("u")))) - 1)
 
 
+def books(book: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., us): the codebook of each tensor as one array in the order of ``idx``; at most 256 patterns by the gate."""
+    return book.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "u"))).alias("e")).select(*keys, F.transform("e", lambda x: x["u"]).alias("book"))
+
+
 def encode(elements: DataFrame, book: DataFrame, *keys: str) -> DataFrame:
-    """Elements with ``idx`` for ``u``; the codebook is small by the gate, so Spark broadcasts it under its own size check."""
-    return elements.join(book.select(*keys, "u", "idx"), [*keys, "u"]).drop("u")
+    """Elements with ``idx`` for ``u``, looked up in their tensor's codebook.
+
+    One row a tensor is joined, which Spark broadcasts under its own size check (2 KiB a tensor), so elements do not move.
+    """
+    return elements.join(books(book, *keys), list(keys)).withColumn("idx", (F.array_position("book", F.col("u")) - 1).cast("int")).where("idx >= 0").drop("u", "book")
 
 
 def decode(indexed: DataFrame, book: DataFrame, *keys: str) -> DataFrame:
-    return indexed.join(book.select(*keys, "u", "idx"), [*keys, "idx"]).drop("idx")
+    return indexed.join(books(book, *keys), list(keys)).withColumn("u", F.get("book", F.col("idx"))).drop("idx", "book")

@@ -5,7 +5,7 @@ Zero means all bits zero, so -0.0 is not zero.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,6 +37,24 @@ def dense_values(elements: DataFrame, *keys: str) -> DataFrame:
     return elements.where("u != 0").select(*keys, rank.cast("long").alias("rank"), "u")
 
 
+def encode_arrays(us: Column) -> tuple[Column, Column]:
+    """(bitmap bytes, dense values) of an array of patterns, inside the row."""
+    byte = lambda i: F.aggregate(F.slice(us, i * 8 + 1, F.lit(8)), F.struct(F.lit(0).cast("long").alias("byte"), F.lit(7).alias("bit")), lambda a, u: F.struct((a["byte"] + F.when(u != 0, F.call_function("shiftleft", F.lit(1).cast("long"), a["bit"])).otherwise(F.lit(0))).alias("byte"), (a["bit"] - 1).alias("bit")), lambda a: a["byte"])
+    count = F.ceil(F.size(us) / 8).cast("int")
+    bitmap_ = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), byte)).otherwise(F.array().cast("array<bigint>"))
+    return bitmap_, F.filter(us, lambda u: u != 0)
+
+
+def decode_arrays(bitmap_: Column, dense: Column, size: Column) -> Column:
+    """The inverse of ``encode_arrays``: places of set bits take the dense values in order, the others zero; one sort inside the row, no window."""
+    flag = lambda i: F.call_function("shiftright", F.get(bitmap_, (i / 8).cast("int")), F.lit(7) - F.pmod(i, F.lit(8))).bitwiseAND(F.lit(1))
+    at = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    zero = F.lit(0).cast("long")
+    full = F.zip_with(F.filter(at, lambda i: flag(i) == 1), dense, lambda i, u: F.struct(i.alias("i"), u.alias("u")))
+    empty = F.transform(F.filter(at, lambda i: flag(i) == 0), lambda i: F.struct(i.alias("i"), zero.alias("u")))
+    return F.transform(F.array_sort(F.concat(full, empty)), lambda x: x["u"])
+
+
 def decode(bitmap_: DataFrame, dense: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
     """(keys..., pos, u) from the bitmap, the dense values and the number of elements (keys..., size)."""
     bits = bitmap_.select(*keys, "byte_no", "byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))

@@ -57,9 +57,11 @@ def plane_hist_i64(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT vec_id, count(*) AS elements, 0::BIGINT AS mismatches, bit_xor(u) AS checksum FROM {EMB} GROUP BY 1")
 def plane_join_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split, join again, compare."""
-    emb = fx.emb(spark, sf_dir)
-    joined = elements.planes(emb, "u", 4, "vec_id", "pos", "u").groupBy("vec_id", "pos", "u").agg(bits.join_bytes(F.col("byte"), F.col("plane")).alias("v"))
-    return joined.groupBy("vec_id").agg(F.count("*").alias("elements"), F.sum((F.col("u") != F.col("v")).cast("long")).alias("mismatches"), F.bit_xor("v").alias("checksum"))
+    split = fx.emb_arrays(spark, sf_dir).withColumn("planes", elements.split(F.col("us"), 4))
+    zero = F.lit(0).cast("long")
+    differ = F.aggregate(F.zip_with("us", "vs", lambda u, v: (u != v).cast("long")), zero, lambda a, x: a + x)
+    rows = split.withColumn("vs", elements.join(F.col("planes"))).select("vec_id", F.size("vs").cast("long").alias("n"), differ.alias("bad"), F.aggregate("vs", zero, lambda a, v: a.bitwiseXOR(v)).alias("x"))
+    return rows.groupBy("vec_id").agg(F.sum("n").alias("elements"), F.sum("bad").alias("mismatches"), F.bit_xor("x").alias("checksum"))
 
 
 def _field_hist(u: DataFrame, s: bits.FloatSpec) -> DataFrame:
@@ -248,14 +250,17 @@ def sparse_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY pos) - 1 AS rank, u FROM {EMB_RECT} WHERE u <> 0")
 def sparse_dense_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse.dense_values(fx.emb_rect(spark, sf_dir), "vec_id")
+    _, dense = sparse.encode_arrays(F.col("us"))
+    return fx.emb_rect_arrays(spark, sf_dir).select("vec_id", F.posexplode(dense).alias("rank", "u")).select("vec_id", F.col("rank").cast("long").alias("rank"), "u")
 
 
 @_query(f"SELECT vec_id, pos, u FROM {EMB_RECT}")
 def sparse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rect = fx.emb_rect(spark, sf_dir)
-    sizes = rect.groupBy("vec_id").agg(F.count("*").alias("size"))
-    return sparse.decode(sparse.bitmap(rect, "vec_id"), sparse.dense_values(rect, "vec_id"), sizes, "vec_id")
+    """Coded and decoded inside each row."""
+    bitmap, dense = sparse.encode_arrays(F.col("us"))
+    coded = fx.emb_rect_arrays(spark, sf_dir).select("vec_id", bitmap.alias("bitmap"), dense.alias("dense"), F.size("us").alias("size"))
+    us = sparse.decode_arrays(F.col("bitmap"), F.col("dense"), F.col("size"))
+    return coded.select("vec_id", F.posexplode(us).alias("pos", "u")).select("vec_id", F.col("pos").cast("long").alias("pos"), "u")
 
 
 _PALETTED = [c for c in _LINE_COLUMNS if c != "l_extendedprice"]
@@ -299,14 +304,15 @@ def palette_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"SELECT plane, count(*) AS total, count(*) FILTER (byte <> 0) AS nonzero FROM {_planes_sql(f'(SELECT xor(a.u, b.u) AS u FROM {EMB_SNAPSHOT} a JOIN {EMB} b USING (vec_id, pos))', 4)} GROUP BY 1")
 def xor_delta_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = delta.xor(fx.emb_snapshot(spark, sf_dir), fx.emb(spark, sf_dir), ["vec_id", "pos"])
+    d = delta.xor_arrays(fx.emb_snapshot_arrays(spark, sf_dir), fx.emb_arrays(spark, sf_dir), "vec_id").select(F.explode("us").alias("u"))
     return elements.planes(d, "u", 4).groupBy("plane").agg(F.count("*").alias("total"), F.sum((F.col("byte") != 0).cast("long")).alias("nonzero"))
 
 
 @_query(f"SELECT vec_id, pos, u FROM {EMB_SNAPSHOT}")
 def xor_delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref = fx.emb(spark, sf_dir)
-    return delta.xor(delta.xor(fx.emb_snapshot(spark, sf_dir), ref, ["vec_id", "pos"]), ref, ["vec_id", "pos"])
+    ref = fx.emb_arrays(spark, sf_dir)
+    back = delta.xor_arrays(delta.xor_arrays(fx.emb_snapshot_arrays(spark, sf_dir), ref, "vec_id"), ref, "vec_id")
+    return back.select("vec_id", F.posexplode("us").alias("pos", "u")).select("vec_id", F.col("pos").cast("long").alias("pos"), "u")
 
 
 @_query(f"SELECT t.name, CASE WHEN t.text = b.text THEN 'COPY' WHEN strlen(t.text) = strlen(b.text) THEN 'DELTA' ELSE 'FULL' END AS kind, strlen(t.text)::BIGINT AS length FROM {DOCS_TARGET} t LEFT JOIN documents b ON b.doc_id = t.name")

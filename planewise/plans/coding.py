@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planewise.functions import bits, codec, rans
-from planewise.operators import coding
+from planewise.operators import coding, store
 from planewise.plans import fixtures as fx
 from planewise.plans.fixtures import DOCS_TARGET, EMB, EMB_SNAPSHOT, table
 
@@ -42,15 +42,15 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf_dir: str, per: int = 50, snapshot: bool = False) -> DataFrame:
     """(tensor, raw, dtype): the elements of ``per`` vectors as one float32 tensor."""
-    emb = fx.emb_snapshot(spark, sf_dir) if snapshot else fx.emb(spark, sf_dir)
-    ordered = emb.groupBy(F.floor(F.col("vec_id") / per).alias("tensor")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "pos", "u"))).alias("e"))
-    rows = ordered.select("tensor", F.transform("e", lambda x: x["u"]).alias("us"), F.transform("e", lambda x: x["vec_id"]).alias("ids"))
-    return coding.map_rows(rows, "raw binary", lambda r: (np.array(r["us"], "<u4").tobytes(),), ("us",)).withColumn("dtype", F.lit("fp32"))
+    emb = fx.emb_snapshot_arrays(spark, sf_dir) if snapshot else fx.emb_arrays(spark, sf_dir)
+    ordered = emb.groupBy(F.floor(F.col("vec_id") / per).alias("tensor")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "us"))).alias("e"))
+    us, ids = F.flatten(F.transform("e", lambda x: x["us"])), F.flatten(F.transform("e", lambda x: F.array_repeat(x["vec_id"], F.size(x["us"]))))
+    return ordered.select("tensor", ids.alias("ids"), bits.packed_patterns(us, 4).alias("raw"), F.lit("fp32").alias("dtype"))
 
 
 def _elements(decoded: DataFrame) -> DataFrame:
     """(vec_id, pos, u) of decoded float32 tensors."""
-    rows = coding.map_rows(decoded.select("ids", "raw"), "us array<long>", lambda r: (np.frombuffer(r["raw"], "<u4").astype(np.int64).tolist(),), ("raw",))
+    rows = decoded.select("ids", bits.unpacked_patterns(F.col("raw"), 4).alias("us"))
     each = rows.select(F.inline(F.arrays_zip("ids", "us")))
     return each.groupBy("ids").agg(F.count("*").alias("elements"), F.bit_xor("us").alias("checksum"), F.sum("us").alias("total")).withColumnRenamed("ids", "vec_id")
 
@@ -62,12 +62,12 @@ def _values(spark: SparkSession, sf_dir: str, per: int = 1000) -> DataFrame:
     """(tensor, ids, raw, dtype): ``events.value`` by id as float64 tensors."""
     rows = table(spark, sf_dir, "events").select("event_id", bits.f64_bits(F.col("value")).alias("u"))
     ordered = rows.groupBy(F.floor(F.col("event_id") / per).alias("tensor")).agg(F.array_sort(F.collect_list(F.struct("event_id", "u"))).alias("e"))
-    ordered = ordered.select("tensor", F.transform("e", lambda x: x["event_id"]).alias("ids"), F.transform("e", lambda x: x["u"]).alias("us"))
-    return coding.map_rows(ordered, "raw binary", lambda r: (np.array(r["us"], "<i8").tobytes(),), ("us",)).withColumn("dtype", F.lit("fp64"))
+    ids, us = F.transform("e", lambda x: x["event_id"]), F.transform("e", lambda x: x["u"])
+    return ordered.select("tensor", ids.alias("ids"), bits.packed_patterns(us, 8).alias("raw"), F.lit("fp64").alias("dtype"))
 
 
 def _values_back(decoded: DataFrame) -> DataFrame:
-    rows = coding.map_rows(decoded.select("ids", "raw"), "us array<long>", lambda r: (np.frombuffer(r["raw"], "<i8").tolist(),), ("raw",))
+    rows = decoded.select("ids", bits.unpacked_patterns(F.col("raw"), 8).alias("us"))
     return rows.select(F.inline(F.arrays_zip("ids", "us"))).toDF("event_id", "u")
 
 
@@ -154,11 +154,18 @@ def rans_o1_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rans(spark, sf_dir, rans.ORDER1)
 
 
+def _stored(tensors: DataFrame) -> str:
+    """The folder of a checkpoint written for one query."""
+    folder = store.scratch(tensors.sparkSession, "checkpoint")
+    store.write(tensors, folder)
+    return folder
+
+
 @_query("SELECT doc_id AS ordinal, 'tensor.' || doc_id AS name, strlen(text)::BIGINT AS orig_len, md5(text) AS digest FROM documents")
 def checkpoint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a checkpoint: deduplicated, coded once each, read back through their references."""
     tensors = _docs(spark, sf_dir).select(F.col("doc_id").alias("ordinal"), F.concat(F.lit("tensor."), F.col("doc_id").cast("string")).alias("name"), "dtype", "raw")
-    back = coding.read_tensors(coding.encode_checkpoint(tensors))
+    back = store.read(spark, _stored(tensors))
     return back.select("ordinal", "name", F.octet_length("raw").cast("long").alias("orig_len"), F.md5("raw").alias("digest"))
 
 
@@ -166,7 +173,7 @@ def checkpoint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tensor_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three tensors out of a checkpoint."""
     tensors = _docs(spark, sf_dir).select(F.col("doc_id").alias("ordinal"), F.concat(F.lit("tensor."), F.col("doc_id").cast("string")).alias("name"), "dtype", "raw")
-    return _digests(coding.read_tensors(coding.encode_checkpoint(tensors), ["tensor.3", "tensor.77", "tensor.150"]), "name")
+    return _digests(store.read(spark, _stored(tensors), ["tensor.3", "tensor.77", "tensor.150"]), "name")
 
 
 @_query()

@@ -18,6 +18,21 @@ def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.from_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+def emb_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, us): the same, a vector a row."""
+    return elements.patterns(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def emb_rect_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    return emb_arrays(spark, sf_dir).withColumn("us", F.transform("us", lambda u: F.when(bits.sign(u, bits.SPECS["float32"]) == 0, u).otherwise(zero)))
+
+
+def emb_snapshot_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = lambda pos: (F.col("vec_id") * 64 + pos) % 20 == 0
+    return emb_arrays(spark, sf_dir).withColumn("us", F.transform("us", lambda u, pos: F.when(changed(pos), u.bitwiseXOR(F.lit(1).cast("long"))).otherwise(u)))
+
+
 def emb_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Negative elements made zero: a tensor pruned by half."""
     return emb(spark, sf_dir).withColumn("u", F.when(bits.sign(F.col("u"), bits.SPECS["float32"]) == 0, F.col("u")).otherwise(F.lit(0).cast("long")))

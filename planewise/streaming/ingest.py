@@ -5,6 +5,7 @@ An extension: the coded tables and statistics are those of the batch operators,
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,10 +28,15 @@ def encode_stream(tensors: DataFrame, target: str, checkpoint: str, *, level: in
 
 def plane_counts(tensors: DataFrame, width: int = 4, watermark: str = "1 hour", window: str = "10 minutes") -> DataFrame:
     """(start, plane, byte, n): byte histograms of windows of arrival; late tensors up to the watermark count."""
-    kernel = lambda row: (list(row["raw"][: len(row["raw"]) // width * width]),)
-    each = coding.map_rows(tensors.select("ts", "raw"), "bytes array<int>", kernel, ("raw",))
-    flat = each.select("ts", F.posexplode("bytes").alias("pos", "byte")).select("ts", (F.col("pos") % width).alias("plane"), "byte")
-    counted = flat.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), "plane", "byte").agg(F.count("*").alias("n"))
+
+    def kernel(row: dict) -> tuple:
+        raw = row["raw"] or b""
+        counts = [np.bincount(np.frombuffer(raw, np.uint8, len(raw) // width * width)[j::width], minlength=256) for j in range(width)]
+        return ([{"plane": j, "byte": int(b), "n": int(n[b])} for j, n in enumerate(counts) for b in np.flatnonzero(n)],)
+
+    each = coding.map_rows(tensors.select("ts", "raw"), "counts array<struct<plane:int,byte:int,n:bigint>>", kernel, ("raw",))
+    flat = each.select("ts", F.inline("counts"))
+    counted = flat.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), "plane", "byte").agg(F.sum("n").alias("n"))
     return counted.select(F.col("w.start").alias("start"), "plane", "byte", "n")
 
 

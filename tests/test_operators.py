@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planewise.functions import bits, rans
-from planewise.operators import coding, container, delta, elements, ordered, palette, sparse, stats
+from planewise.operators import coding, container, delta, elements, ordered, palette, sparse, stats, store
 from planewise.streaming import ingest
 
 SPECIAL = [0.0, -0.0, 1.0, -1.0, float("inf"), float("-inf"), float("nan"), 5e-324, 1.7976931348623157e308, None]
@@ -73,6 +73,34 @@ def test_segments(spark):
     assert [r.s for r in df.orderBy("id").collect()] == [sum(p >= 10 * s // 4 for s in (1, 2, 3)) for p in range(10)]
 
 
+def test_arrays_agree_with_elements(spark):
+    """The operators on arrays, a tensor a row, give what those on element rows give."""
+    rng = np.random.default_rng(11)
+    tensors = {k: rng.integers(-(1 << 40), 1 << 40, n) * (rng.random(n) < 0.6) for k, n in enumerate((0, 1, 7, 8, 9, 64, 200))}
+    rows = spark.createDataFrame([(k, [int(x) for x in v]) for k, v in tensors.items()], "t int, us array<bigint>")
+    bitmap, dense = sparse.encode_arrays(F.col("us"))
+    coded = rows.select("t", "us", bitmap.alias("b"), dense.alias("d"), F.size("us").alias("n"))
+    back = coded.select("t", "b", "d", sparse.decode_arrays(F.col("b"), F.col("d"), F.col("n")).alias("vs"), elements.join(elements.split(F.col("us"), 8)).alias("ws"))
+    for r in back.collect():
+        v = tensors[r.t]
+        assert r.vs == r.ws == v.tolist() and r.d == v[v != 0].tolist() and r.b == np.packbits(v != 0).tolist()
+    other = rows.select("t", F.transform("us", lambda u: u * 3 + 1).alias("us")).where("t != 3")
+    got = {r.t: r.us for r in delta.xor_arrays(rows, other, "t").collect()}
+    assert got == {k: (v ^ (v * 3 + 1)).tolist() for k, v in tensors.items() if k != 3}
+    assert delta.xor_arrays(rows, rows.withColumn("us", F.slice("us", 1, 5)), "t").count() == 2  # unlike lengths are no pair
+
+
+def test_patterns_of_arrays(spark):
+    floats = [[1.5, -0.0, float("nan")], [], None, [float("inf"), None, 2.0**-140]]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(floats)], "i int, x array<float>").repartition(1)
+    got = {r.i: r.us for r in rows.select("i", bits.f32_array_bits(F.col("x")).alias("us")).collect()}
+    assert got[1] == [] and got[2] is None and got[3][1] is None and got[3][::2] == [0x7F800000, 1 << 9] and got[0][:2] == [0x3FC00000, 0x80000000]
+    whole = rows.select("i", bits.f32_array_bits(F.col("x")).alias("us")).where("i < 2")
+    packed = whole.select("i", "us", bits.packed_patterns(F.col("us"), 4).alias("p"), bits.packed_patterns(F.col("us"), 8).alias("q"))
+    for r in packed.select("us", "p", bits.unpacked_patterns(F.col("p"), 4).alias("a"), bits.unpacked_patterns(F.col("q"), 8).alias("b")).collect():
+        assert r.a == r.b == r.us and bytes(r.p) == np.array(r.us, "<u4").tobytes()
+
+
 def test_running_sums(spark):
     rng = np.random.default_rng(2)
     ids = rng.choice(10_000, 700, replace=False)
@@ -137,10 +165,17 @@ def test_coding(spark):
     w = rng.normal(size=5000).astype("<f4")
     rows = [(0, "w", "F32", w.tobytes()), (1, "tied", "F32", w.tobytes()), (2, "none", "U8", b""), (3, "text", "U8", b"abc" * 999), (4, "odd", "BF16", w.tobytes()[:999])]
     t = spark.createDataFrame([(i, n, d, bytearray(r)) for i, n, d, r in rows], "ordinal long, name string, dtype string, raw binary")
-    store = coding.encode_checkpoint(t).cache()
-    assert store.where("kind = 'REF'").count() == 1 and store.agg(F.sum("comp_len")).first()[0] < store.agg(F.sum("bytes")).first()[0]
-    assert {r["name"]: bytes(r["raw"]) for r in coding.read_tensors(store).collect()} == {n: r for _, n, _, r in rows}
-    assert [bytes(r["raw"]) for r in coding.read_tensors(store, ["tied"]).collect()] == [w.tobytes()]
+    for parts in (1, 5):  # tied tensors in one task, and in several
+        folder = store.scratch(spark, "test")
+        store.write(t.repartition(parts), folder)
+        index = store.index(spark, folder)
+        assert index.where("kind = 'REF' AND ref = 0").count() == 1 and index.agg(F.sum("comp_len")).first()[0] < index.agg(F.sum("orig_len")).first()[0]
+        assert {r["name"]: bytes(r["raw"]) for r in store.read(spark, folder).collect()} == {n: r for _, n, _, r in rows}
+        some = store.read(spark, folder, ["tied"])
+        assert [bytes(r["raw"]) for r in some.collect()] == [w.tobytes()]
+        plan = some._jdf.queryExecution().toString()
+        assert "EqualTo(ordinal,0)], ReadSchema: struct<ordinal:bigint,payload:binary>" in plan and some._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+        assert store.read(spark, folder, ["absent"]).count() == 0
     parts = coding.chunks(t, 1024)
     assert parts.where("name = 'w'").count() == -(-20_000 // 1024)
     assert {r["name"]: bytes(r["raw"]) for r in coding.join_chunks(parts, "name").collect()} == {n: r for _, n, _, r in rows}
