@@ -16,7 +16,14 @@ of the larger have a key in common, which gives the plan:
    that share a key is listed (components first, then their members), expanded to classes and
    verified.
 
-So no link between unlike texts is lost, and copies or near copies are never paired all with all.
+So no link between unlike texts is lost.  Copies are never paired all with all, nor are members of one component.  What is compared
+without a link is pairs of groups in different components that share a key of their prefixes: a family of texts that are nearly, but not
+quite, near copies of each other (just under the limit, all of them) has them all compared, in blocks, with the square of its size.
+
+Hot keys: a key whose shingle the sketch finds in more than ``HOT`` documents is dealt out to several tasks by group, so a task holds
+about that many of its postings; later joins by key are salted by its number of postings.  Joins by component are left to
+Spark's splitting of skewed partitions.  At very large corpora the noise of the sketch's counters (the root of their mean load) hides
+which shingles are rarer among the rare; that costs candidates, never links.
 
 Contract: null text or text without words has the empty set and links with nothing; a text of one to
 three words has the whole sequence as its shingle; repeated rows are exact copies; a null id is
@@ -49,7 +56,15 @@ FILTER_BITS = 28
 _ROUNDS, _NEIGHBOURS = 2, 6
 #: Postings of one key that are compared with each other at a time.
 _PAIR_BLOCK = 1024
+#: Parts that the keys of one component are dealt to.
+_HOMES = 16
 _POST = np.dtype([("key", "<u8"), ("grp", "<i8"), ("n", "<u4"), ("at", "<u2")])
+#: The same with the number of postings of the key.
+_RUN = np.dtype([*_POST.descr, ("held", "<u4")])
+#: Documents of a shingle from which on its key is dealt out.
+HOT = 1 << 20
+#: Postings of a key that share a salt.
+_SALTED = 1024
 
 
 def shingles(s: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +117,11 @@ def _digest(keys: np.ndarray, doc: np.ndarray, n: int, salt: int) -> np.ndarray:
 class Order:
     """The global order of shingles: by frequency class (8 bits), then by hash; one 64-bit key each."""
 
-    def __init__(self, ranks: np.ndarray):
+    def __init__(self, ranks: np.ndarray, mean: float = 1.0):
         self.ranks = ranks
+        # about the load of a counter of each class, and the tasks its keys are dealt out to
+        z = np.where(np.arange(256) < 127, np.arange(256) / 4 - 8, 24 * 2.0 ** ((np.arange(256) - 127) / 4))
+        self.tasks = np.maximum(1, np.ceil((mean + (z + 1) * np.sqrt(mean)) / HOT)).astype(U64)
 
     def sets(self, s: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
         g, d = shingles(s, size)
@@ -145,7 +163,7 @@ def frequency_order(texts: DataFrame, size: int) -> Order:
     mean = max(1.0, load.mean())
     z = (load - mean) / np.sqrt(mean)
     fine, coarse = np.floor(4 * z) + 32, 127 + 4 * np.log2(np.maximum(z / 24, 1))
-    return Order(np.clip(np.where(z < 24, fine, coarse), 0, 255).astype(np.uint8))
+    return Order(np.clip(np.where(z < 24, fine, coarse), 0, 255).astype(np.uint8), mean)
 
 
 def probe_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -205,7 +223,7 @@ class NgramJoin:
 
     def _candidates(self, table: DataFrame) -> DataFrame:
         """Rows (u, v): neighbouring groups under a key; rows (run): packed postings of keys with over three groups."""
-        parts, percent = self.parts, self.percent
+        parts, percent, tasks = self.parts, self.percent, self.order.tasks
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -224,7 +242,8 @@ class NgramJoin:
                     x["key"] = np.frombuffer(b"".join(prefix[i] for i in mine), "<u8")
                     x["grp"], x["n"] = np.repeat(np.array([grp[i] for i in mine], np.int64), sizes), np.repeat(np.array([n[i] for i in mine], np.int64), sizes)
                     x["at"] = np.minimum(np.concatenate([np.arange(k) for k in sizes] or [np.zeros(0)]), 65_535)
-                    part = (mix(x["key"]) % U64(parts)).astype(np.int64)
+                    salt = mix(x["grp"].view(U64)) % tasks[(x["key"] >> U64(56)).astype(np.int64)]
+                    part = (mix(x["key"] + salt * U64(0x9E3779B97F4A7C15)) % U64(parts)).astype(np.int64)
                     order = np.argsort(part, kind="stable")
                     x, part = x[order], part[order]
                     names, at = np.unique(part, return_index=True)
@@ -248,7 +267,14 @@ class NgramJoin:
                     yield pairs
                 head = np.flatnonzero(np.concatenate([[True], x["key"][1:] != x["key"][:-1]]))
                 length = np.diff(np.append(head, len(x)))
-                long = x[np.repeat(length > 3, length)]
+                # of a key that was dealt out others may be elsewhere
+                dealt = tasks[(x["key"][head] >> U64(56)).astype(np.int64)].astype(np.int64)
+                length = np.where(dealt > 1, np.maximum(4, length * dealt), length)
+                held = np.repeat(length, np.diff(np.append(head, len(x))))
+                long = np.empty(int((held > 3).sum()), _RUN)
+                for name in _POST.names:
+                    long[name] = x[name][held > 3]
+                long["held"] = np.minimum(held[held > 3], (1 << 32) - 1)
                 for i in range(0, len(long), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([long[i : i + (1 << 16)].tobytes()], pa.binary())], names=["u", "v", "run"])
 
@@ -347,7 +373,7 @@ class NgramJoin:
         found = written(self._candidates(wide), "candidates")
         remove(wide)
         near = written(found.where("u IS NOT NULL").select("u", "v").distinct(), "near")
-        runs = written(found.where("run IS NOT NULL").select("run").mapInArrow(trimmed(_unpacked), "key long, grp long, n long, at long"), "runs")
+        runs = written(found.where("run IS NOT NULL").select("run").mapInArrow(trimmed(_unpacked), "key long, grp long, n long, at long, salt int"), "runs")
         remove(found)
 
         # neighbours: between groups by their first classes, and inside each group
@@ -365,19 +391,30 @@ class NgramJoin:
         beside = near.toDF("ga", "gb")
         beside = beside.join(several.toDF("ga"), "ga", "left_semi").select("ga", "gb").union(beside.join(several.toDF("gb"), "gb", "left_semi").select("ga", "gb"))
         beside = written(beside.union(several.select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))).distinct(), "beside")
+        if not _any(posts) and not _any(beside):
+            for x in (tried, posts, runs, near, beside, classes, cells):
+                remove(x)
+            return table, stars
         open_ = written(self._across(posts, pairs=False).distinct(), "open")
-        runs = written(runs.join(open_, "grp", "left_semi").select("key", "grp", "n", "at"), "runs")
+        runs = written(runs.join(open_, "grp", "left_semi").select(*runs.columns), "runs")
         posts = posts.join(open_, "grp", "left_semi").select(*posts.columns)
         sets = self._sets_of(self._of(classes, "grp", open_.select("grp").union(beside.select("ga")).union(beside.select("gb"))))
         for turn in range(_ROUNDS):
+            if not _any(posts):
+                break
             pairs = _ordered(self._random_neighbours(posts, turn).join(cells.toDF("ga", "ca", "u"), ["ga", "ca"]).join(cells.toDF("gb", "cb", "v"), ["gb", "cb"])).distinct()
-            more = written(pairs.join(tried, ["u", "v"], "left_anti"), "tried")
+            more = written(pairs.join(tried, ["u", "v"], "left_anti"), "more")
+            if not _any(more):
+                break
             stars = self._merged(stars, more, sets)
             tried = written(tried.union(more), "tried")
             cells, posts = self._mixed(runs, classes, stars)
-        rest = written(self._remaining(beside, posts, cells, classes, stars).join(tried, ["u", "v"], "left_anti"), "rest")
-        stars = self._merged(stars, rest, sets)
-        for x in (tried, rest, posts, sets, runs, near, beside):
+        if _any(posts) or _any(beside):
+            rest = written(self._remaining(beside, posts, cells, classes, stars).join(tried, ["u", "v"], "left_anti"), "rest")
+            if _any(rest):
+                stars = self._merged(stars, rest, sets)
+            remove(rest)
+        for x in (tried, sets, runs, near, beside, open_, classes, cells):
             remove(x)
         return table, stars
 
@@ -396,8 +433,10 @@ class NgramJoin:
         """Cells (grp, comp, cls: the first member), and the postings (key, grp, n, at, comp, held) of keys that different components hold."""
         cells = written(self._labelled(classes, stars).groupBy("grp", "comp").agg(F.min("cls").alias("cls")), "cells")
         posts = runs.join(cells.select("grp", "comp"), "grp")
-        keys = posts.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).where("lo != hi").select("key", "held")
-        return cells, written(posts.join(keys, "key").select("key", "grp", "n", "at", "comp", "held"), "mixed")
+        keys = posts.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held"), F.max("salt").alias("salts")).where("lo != hi")
+        # one row a salt of the key, so that the postings of a hot key meet it in several tasks
+        keys = keys.select("key", "held", F.explode(F.sequence(F.lit(0), "salts")).alias("salt"))
+        return cells, written(posts.join(keys, ["key", "salt"]).select("key", "grp", "n", "at", "comp", "held"), "mixed")
 
     def _possible_columns(self, a: tuple[str, str], b: tuple[str, str]) -> Column:
         """Sizes and places of two postings that allow a link."""
@@ -420,15 +459,15 @@ class NgramJoin:
         """(ga, ca, gb, cb): groups in different components that share a key and may link; without ``pairs`` only the groups (grp) that have such a partner.
 
         The postings of a key are packed in blocks of a bounded size, and each pair of blocks is one row.  Rows go to
-        tasks by the component that holds most of their key, so the keys that one family of texts shares meet, and a
-        pair that many of them show is listed once.
+        tasks by the component that holds most of their key, in ``_HOMES`` parts, so many of the keys that one family of texts shares
+        meet, and a pair that many of them show is listed a few times only; blocks of large keys are dealt out each for itself.
         """
         percent = self.percent
         home = posts.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("home"))
         part = F.pmod(F.xxhash64(F.lit("block"), "grp"), F.ceil(F.col("held") / _PAIR_BLOCK).cast("long"))
         blocks = posts.select("key", part.alias("block"), F.struct("grp", "comp", "n", "at").alias("post")).groupBy("key", "block").agg(F.collect_list("post").alias("posts"))
-        both = blocks.toDF("key", "a", "pa").join(blocks.toDF("key", "b", "pb"), "key").where("a <= b").join(home, "key").select("home", "pa", F.when(F.col("a") != F.col("b"), F.col("pb")).alias("pb"))
-        dealt = both.repartition(shuffle_partitions(self.spark), "home").sortWithinPartitions("home")
+        both = blocks.toDF("key", "a", "pa").join(blocks.toDF("key", "b", "pb"), "key").where("a <= b").join(home, "key").select("home", F.pmod(F.xxhash64("key"), F.lit(_HOMES)).alias("deal"), "a", "b", "pa", F.when(F.col("a") != F.col("b"), F.col("pb")).alias("pb"))
+        dealt = both.repartition(shuffle_partitions(self.spark), "home", "deal", "a", "b").sortWithinPartitions("home").select("home", "pa", "pb")
 
         def unpack(lists: pa.Array) -> np.ndarray:
             flat = lists.as_py()
@@ -487,6 +526,10 @@ def _crossing(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found)
 
 
+def _any(df: DataFrame) -> bool:
+    return bool(df.limit(1).count())
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
@@ -494,8 +537,11 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch[0].to_pylist():
-            x = np.frombuffer(blob, _POST)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["key"]).view(np.int64)), pa.array(x["grp"]), pa.array(x["n"].astype(np.int64)), pa.array(x["at"].astype(np.int64))], names=["key", "grp", "n", "at"])
+            x = np.frombuffer(blob, _RUN)
+            # salts 0 to ceil(held / _SALTED) - 1
+            salt = mix(np.ascontiguousarray(x["grp"]).view(U64)) % (-(-x["held"].astype(np.int64) // _SALTED)).astype(U64)
+            cols = [pa.array(np.ascontiguousarray(x["key"]).view(np.int64)), pa.array(x["grp"]), pa.array(x["n"].astype(np.int64)), pa.array(x["at"].astype(np.int64)), pa.array(salt.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "grp", "n", "at", "salt"])
 
 
 def component_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:

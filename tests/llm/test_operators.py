@@ -188,9 +188,10 @@ def test_ngram_join_odd_rows(docs, none):
     assert ngram_join.component_table(none).count() == 0
 
 
-@pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
-def test_ngram_join_near_copies(spark, size, percent):
-    """Families whose members differ by few or many words: links, chains of links, and pairs just below the limit."""
+@pytest.mark.parametrize(("size", "percent", "hot"), [(4, 85, 1 << 20), (5, 80, 1 << 20), (4, 85, 2)])
+def test_ngram_join_near_copies(spark, monkeypatch, size, percent, hot):
+    """Families whose members differ by few or many words: links, chains of links, and pairs just below the limit; also with nearly all keys dealt out."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     rng = np.random.default_rng(size)
     rows, common = [], _prose(99, 60).split()
     for family in range(6):
