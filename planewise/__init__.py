@@ -11,7 +11,9 @@ from planewise.functions.checkpoint import (
     decompress_file,
     load_file,
     model_delta_compress,
+    model_delta_compress_file,
     model_delta_decompress,
+    model_delta_decompress_file,
     peek,
     save_file,
 )
@@ -24,6 +26,8 @@ from planewise.functions.codec import (
     delta_compress,
     delta_decompress,
     info,
+    is_adaptive,
+    is_kind,
     turbo_compress,
 )
 
@@ -32,6 +36,6 @@ compress_array = compress
 
 __all__ = [
     "CheckpointReader", "FrameError", "chunked_compress", "compress", "compress_array", "compress_checkpoint", "compress_file", "decompress", "decompress_array",
-    "decompress_checkpoint", "decompress_file", "delta_compress", "delta_decompress", "info", "load_file", "model_delta_compress", "model_delta_decompress",
-    "peek", "save_file", "turbo_compress",
+    "decompress_checkpoint", "decompress_file", "delta_compress", "delta_decompress", "info", "is_adaptive", "is_kind", "load_file", "model_delta_compress",
+    "model_delta_compress_file", "model_delta_decompress", "model_delta_decompress_file", "peek", "save_file", "turbo_compress",
 ]

@@ -335,6 +335,26 @@ def model_delta_decompress(blob: bytes, base: bytes) -> bytes:
     return struct.pack("<Q", len(text)) + text + data
 
 
+def model_delta_compress_file(target: str, base: str, out: str, **kw) -> dict:
+    """Write the delta of a checkpoint file against its base; returns the size statistics."""
+    with open(target, "rb") as f, open(base, "rb") as g:
+        raw = f.read()
+        blob = model_delta_compress(raw, g.read(), **kw)
+    with open(out, "wb") as f:
+        f.write(blob)
+    return {"original_bytes": len(raw), "compressed_bytes": len(blob), "ratio": len(raw) / max(1, len(blob))}
+
+
+def model_delta_decompress_file(delta: str, base: str, out: str) -> dict:
+    """Restore a checkpoint file from its delta and base."""
+    with open(delta, "rb") as f, open(base, "rb") as g:
+        blob = f.read()
+        raw = model_delta_decompress(blob, g.read())
+    with open(out, "wb") as f:
+        f.write(raw)
+    return {"compressed_bytes": len(blob), "bytes": len(raw)}
+
+
 def peek(blob: bytes) -> str | None:
     """Which kind of file or frame bytes begin, or None."""
     return {CONTAINER: "checkpoint", MODEL_DELTA: "model_delta"}.get(bytes(blob[:4])) or codec.peek(blob)

@@ -12,6 +12,7 @@ import hashlib
 import json
 import struct
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,9 @@ ALTERNATIVES_GATE = 0.98
 TURBO_PROBED, TURBO_FLAT, TURBO_KEEP = 1 << 18, 0.97, 0.99
 ORDER1_LENGTH, ORDER1_SYMBOLS = 1 << 16, 64
 SPARSE_SHARE, PALETTE_MOST = 0.10, 256
+#: The look at large tensors before zeros are counted: windows, their length, and the share below which they are dense.
+SAMPLED_FROM, SAMPLE_WINDOWS, SAMPLE_LENGTH, SAMPLE_SHARE = 1 << 20, 64, 16_384, 0.05
+THREADS_FROM = 1 << 22
 EFFORTS = ("fast", "balanced", "max")
 
 
@@ -123,11 +127,14 @@ class Plan:
 _RANS = {rans.ORDER0: RANS, rans.ADAPTIVE: RANS_ADAPTIVE, rans.ORDER1: RANS_ORDER1}
 
 
-def plan_plane(raw: bytes, level: int = 3, effort: str = "balanced") -> Plan:
-    """The smallest of the byte coders whose gate opens; entropy coders are compared by what their counts promise."""
+def plan_plane(raw: bytes, level: int = 3, effort: str = "balanced", opaque: bool = False) -> Plan:
+    """The smallest of the byte coders whose gate opens; entropy coders are compared by what their counts promise.
+
+    Of ``opaque`` bytes, zstd is tried with a window over the whole and with its own, which short periods prefer.
+    """
     if not raw:
         return Plan(raw, Plane(STORE, b"", 0), 0)
-    best = Plane(ZSTD, zstd_compress(raw, level), len(raw))
+    best = Plane(ZSTD, min((zstd_compress(raw, level, wide) for wide in ((True, False) if opaque else (True,))), key=len), len(raw))
     if len(best.data) >= len(raw):
         best = Plane(STORE, raw, len(raw))
     plan = Plan(raw, best, len(best.data))
@@ -274,8 +281,16 @@ def join_palette(streams: list[bytes], width: int, tail: bytes = b"") -> bytes:
 
 
 def sparse_gate(raw: bytes, width: int, share: float = SPARSE_SHARE) -> bool:
+    """Exact; of many elements a look at spread windows comes first, which tells dense ones at once."""
     n = len(raw) // width
-    return bool(n) and width in (1, 2, 4, 8) and float((np.frombuffer(raw, f"<u{width}", n) == 0).mean()) >= share
+    if not n or width not in (1, 2, 4, 8):
+        return False
+    u = np.frombuffer(raw, f"<u{width}", n)
+    if n > SAMPLED_FROM:
+        starts = np.linspace(0, n - SAMPLE_LENGTH, SAMPLE_WINDOWS).astype(np.int64)
+        if np.mean([np.mean(u[a : a + SAMPLE_LENGTH] == 0) for a in starts]) < SAMPLE_SHARE:
+            return False
+    return float((u == 0).mean()) >= share
 
 
 def palette_gate(raw: bytes, width: int, most: int = PALETTE_MOST) -> bool:
@@ -292,9 +307,14 @@ def palette_gate(raw: bytes, width: int, most: int = PALETTE_MOST) -> bool:
 class Candidate:
     """A frame to be: ``len`` is its size as planned, ``build`` codes it."""
 
-    def __init__(self, kind: str, head: dict, streams: list[bytes], tail: bytes, level: int, effort: str):
+    def __init__(self, kind: str, head: dict, streams: list[bytes], tail: bytes, level: int, effort: str, threads: int = 1):
         self.kind, self.head, self.tail = kind, head, tail
-        self.plans = [plan_plane(s, level, effort) for s in streams]
+        plan = lambda s: plan_plane(s, level, effort, kind == "opaque")
+        if threads > 1 and sum(map(len, streams)) >= THREADS_FROM:
+            with ThreadPoolExecutor(min(threads, len(streams))) as pool:
+                self.plans = list(pool.map(plan, streams))
+        else:
+            self.plans = list(map(plan, streams))
 
     def __len__(self) -> int:
         return int(sum(p.size for p in self.plans)) + len(self.tail) + 32 * len(self.plans)
@@ -334,9 +354,9 @@ def _pruned(splits: list[tuple[str, list[bytes], bytes]], most: int = MAX_TRANSF
     return [x for x in splits if x[0] in keep]
 
 
-def _candidates(raw: bytes, code: str, width: int, transform: str, level: int, effort: str, auto: bool, head: dict) -> list[tuple[str, Candidate]]:
+def _candidates(raw: bytes, code: str, width: int, transform: str, level: int, effort: str, auto: bool, head: dict, threads: int = 1) -> list[tuple[str, Candidate]]:
     """(codec, frame) in order of preference; the first is the primary one."""
-    make = lambda kind, streams, tail=b"": (kind, Candidate(kind, head, streams, tail, level, effort))
+    make = lambda kind, streams, tail=b"": (kind, Candidate(kind, head, streams, tail, level, effort, threads))
     if transform == "opaque" or width == 1:
         return [make("opaque", [raw])] + ([make("sparse", *split_sparse(raw, 1))] if auto and sparse_gate(raw, 1) else [])
     splits = [("byteplane", *split_planes(raw, width))]
@@ -368,8 +388,11 @@ def choose(candidates: list[tuple]) -> tuple:
     return best
 
 
-def compress(data, *, dtype: str | None = None, level: int = 3, effort: str = "balanced", auto: bool = True) -> bytes:
-    """Code bytes, any buffer or a NumPy array; ``effort`` is fast (no entropy coder), balanced or max (all transforms, zstd 19)."""
+def compress(data, *, dtype: str | None = None, level: int = 3, effort: str = "balanced", auto: bool = True, threads: int = 1) -> bytes:
+    """Code bytes, any buffer or a NumPy array; ``effort`` is fast (no entropy coder), balanced or max (all transforms, zstd 19).
+
+    ``threads`` look at the planes of a large buffer side by side; the frame is the same.  Tasks of Spark use one.
+    """
     if effort not in EFFORTS:
         raise ValueError(f"effort must be one of {EFFORTS}")
     if not 1 <= level <= 22:
@@ -386,7 +409,23 @@ def compress(data, *, dtype: str | None = None, level: int = 3, effort: str = "b
     head |= {"dtype": d.code, "width": d.width, "orig_len": len(raw)}
     if effort == "max":
         level = max(level, 19)
-    return choose(_candidates(raw, d.code, d.width, d.transform, level, effort, auto, head))[1].build()
+    return choose(_candidates(raw, d.code, d.width, d.transform, level, effort, auto, head, threads))[1].build()
+
+
+def compress_as(kind: str, raw: bytes, *, dtype: str, level: int = 3, effort: str = "balanced") -> bytes:
+    """A frame of one given kind, whatever would be smallest."""
+    d = dtype_of(dtype)
+    splits: dict[str, Callable[[], tuple]] = {
+        "opaque": lambda: ([raw], b""),
+        "byteplane": lambda: split_planes(raw, d.width),
+        "fields": lambda: split_fields(raw, d.code),
+        "bitpack": lambda: split_fields(raw, d.code, pack=True),
+        "sparse": lambda: split_sparse(raw, d.width),
+        "palette": lambda: split_palette(raw, d.width),
+    }
+    if kind not in splits or kind in ("fields", "bitpack") and d.code not in _FIELDS:
+        raise ValueError(f"no frame of kind {kind!r} for {d.code}")
+    return Candidate(kind, {"dtype": d.code, "width": d.width, "orig_len": len(raw)}, *splits[kind](), level, effort).build()
 
 
 def _planes(head: dict, payload: memoryview) -> tuple[bytes, list[bytes]]:
@@ -422,8 +461,15 @@ def _decode_frame(head: dict, payload: memoryview) -> bytes:
     return out
 
 
-def decompress(blob: bytes, reference: bytes | None = None) -> bytes:
-    """The bytes of any frame; a delta needs its reference."""
+def decompress(blob: bytes, reference: bytes | None = None, out=None):
+    """The bytes of any frame; a delta needs its reference.  With a writable buffer ``out`` they go there, and ``out`` comes back."""
+    if out is not None:
+        whole = decompress(blob, reference)
+        view = memoryview(out).cast("B")
+        if len(view) < len(whole):
+            raise ValueError(f"the buffer has {len(view)} bytes, {len(whole)} are needed")
+        view[: len(whole)] = whole
+        return out
     magic, head, payload = parse(blob)
     if magic == CHUNKED:
         return _decode_chunks(head, payload)
@@ -457,6 +503,16 @@ def peek(blob: bytes) -> str | None:
     return {FRAME: "frame", CHUNKED: "chunked", DELTA: "delta"}.get(bytes(blob[:4]))
 
 
+def is_kind(blob: bytes, kind: str) -> bool:
+    """Whether bytes are a frame of a kind (``sparse``, ``palette``, ``byteplane``, ...), by its header."""
+    return peek(blob) == "frame" and parse(blob)[1].get("kind") == kind
+
+
+def is_adaptive(blob: bytes) -> bool:
+    """Whether a plane of a frame is coded with a model a chunk."""
+    return peek(blob) == "frame" and any(p[0] == RANS_ADAPTIVE for p in parse(blob)[1].get("planes", []))
+
+
 # -- chunked ------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planewise.functions import bits, codec, rans
+from planewise.functions import bits, checkpoint, codec, rans
 from planewise.operators import coding, store
 from planewise.plans import fixtures as fx
 from planewise.plans.fixtures import DOCS_TARGET, EMB, EMB_SNAPSHOT, table
@@ -154,6 +154,64 @@ def rans_o1_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rans(spark, sf_dir, rans.ORDER1)
 
 
+@_query(_ELEMENTS.format(t=EMB))
+def rans_shared_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coder with one model a plane."""
+    return _rans(spark, sf_dir, rans.ORDER0)
+
+
+def _halves(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Embeddings cut to bf16, as frames of one kind, decoded again."""
+    tensors = _vectors(spark, sf_dir)
+
+    def kernel(row: dict) -> tuple:
+        top = (np.frombuffer(row["raw"], "<u4") >> 16).astype("<u2")
+        back = np.frombuffer(codec.decompress(codec.compress_as(kind, top.tobytes(), dtype="bf16")), "<u2")
+        return (back.astype("<u4").tobytes(),)
+
+    return _elements(coding.map_rows(tensors.withColumnRenamed("raw", "source"), "raw binary", lambda r: kernel({"raw": r["source"]}), ("source",)))
+
+
+_HALVES = f"(SELECT vec_id, u >> 16 AS u FROM {EMB})"
+
+
+@_query(_ELEMENTS.format(t=_HALVES))
+def bf16_fields_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _halves(spark, sf_dir, "fields")
+
+
+@_query(_ELEMENTS.format(t=_HALVES))
+def bf16_bitpack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _halves(spark, sf_dir, "bitpack")
+
+
+@_query("SELECT doc_id, strlen(text)::BIGINT AS orig_len, 'uint8' AS dtype, 1 AS width, false AS is_delta FROM documents")
+def frame_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a frame's header tells without decoding it."""
+
+    def kernel(row: dict) -> tuple:
+        head = codec.info(row["payload"])
+        return head["orig_len"], head["dtype"], head["width"], codec.peek(row["payload"]) == "delta"
+
+    coded = coding.encode(_docs(spark, sf_dir), effort="fast").select("doc_id", "payload")
+    return coding.map_rows(coded, "orig_len long, dtype string, width int, is_delta boolean", kernel, ("payload",))
+
+
+@_query("SELECT doc_id, strlen(text)::BIGINT AS orig_len, md5(text) AS digest FROM documents")
+def checkpoint_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents each as one checkpoint file, coded as a container and read back tensor by tensor."""
+    docs = _docs(spark, sf_dir).groupBy(F.floor(F.col("doc_id") / 10).alias("file")).agg(F.collect_list(F.struct("doc_id", "raw")).alias("tensors"))
+
+    def kernel(row: dict) -> tuple:
+        tensors = {f"t{t['doc_id']}": ("U8", (len(t["raw"]),), bytes(t["raw"])) for t in row["tensors"]}
+        blob = checkpoint.compress_checkpoint(checkpoint.build_safetensors(tensors))
+        reader = checkpoint.CheckpointReader.from_bytes(blob)
+        return ([{"doc_id": int(name[1:]), "raw": reader.read_raw(name)} for name in reader.names()],)
+
+    each = coding.map_rows(docs, "back array<struct<doc_id:bigint,raw:binary>>", kernel, ("tensors",)).select(F.inline("back"))
+    return _digests(each, "doc_id")
+
+
 def _stored(tensors: DataFrame) -> str:
     """The folder of a checkpoint written for one query."""
     folder = store.scratch(tensors.sparkSession, "checkpoint")

@@ -164,3 +164,14 @@ def test_safetensors_source(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "x.pw").write_bytes(planewise.compress_checkpoint(checkpoint.build_safetensors(_tensors(3))))
     assert read_checkpoints(spark, str(tmp_path / "c")).count() == 7
+
+
+def test_model_delta_files(tmp_path):
+    base, target = checkpoint.build_safetensors(_tensors()), checkpoint.build_safetensors(_tensors() | {"ids": _tensors()["ids"][:2] + (bytes(1024),)})
+    for name, blob in (("base", base), ("target", target)):
+        (tmp_path / name).write_bytes(blob)
+    paths = [str(tmp_path / x) for x in ("target", "base", "delta", "back")]
+    stats = planewise.model_delta_compress_file(*paths[:3])
+    assert stats["original_bytes"] == len(target) and stats["compressed_bytes"] == os.path.getsize(paths[2]) and stats["ratio"] > 5
+    assert planewise.model_delta_decompress_file(paths[2], paths[1], paths[3])["bytes"] == len(target)
+    assert (tmp_path / "back").read_bytes() == target

@@ -80,6 +80,74 @@ def test_candidates():
     assert best <= small
 
 
+def test_decoding_into_a_buffer():
+    raw = np.random.default_rng(7).normal(size=3000).astype("<f4").tobytes()
+    for frame in (codec.compress(raw, dtype="fp32"), codec.chunked_compress(raw, dtype="fp32", chunk=999)):
+        for out in (bytearray(len(raw)), bytearray(len(raw) + 5), np.zeros(3000, "<f4")):
+            assert codec.decompress(frame, out=out) is out and bytes(memoryview(out).cast("B")[: len(raw)]) == raw
+        with pytest.raises(ValueError):
+            codec.decompress(frame, out=bytearray(10))
+
+
+def test_opaque_bytes_never_lose_to_plain_zstd():
+    rng = np.random.default_rng(8)
+    mask = np.tile(np.array([1, 1, 0, 1, 0, 0, 0], np.uint8), 300_000).tobytes()
+    for raw in (mask, b"the same words again " * 50_000, np.arange(300_000, dtype="<i4").tobytes(), rng.bytes(50_000) * 9, rng.bytes(300_000)):
+        frame = codec.compress(raw)
+        assert codec.decompress(frame) == raw and len(frame) <= min(len(codec.zstd_compress(raw, 3, wide)) for wide in (True, False)) + 256
+
+
+def test_kinds_and_threads():
+    raw = np.random.default_rng(9).normal(size=1_500_000).astype("<f4").tobytes()
+    assert codec.compress(raw, dtype="fp32", threads=4) == codec.compress(raw, dtype="fp32")
+    sparse_raw = (np.frombuffer(raw, "<f4") * (np.arange(1_500_000) % 3 == 0)).astype("<f4").tobytes()
+    frames = {k: codec.compress_as(k, raw[:40_000], dtype="fp32") for k in ("opaque", "byteplane", "fields", "bitpack", "sparse")}
+    frames["palette"] = codec.compress_as("palette", bytes(range(200)) * 8, dtype="fp32")
+    for kind, frame in frames.items():
+        assert codec.is_kind(frame, kind) and not codec.is_kind(frame, "none") and codec.info(frame)["kind"] == kind
+    assert codec.decompress(frames["bitpack"]) == raw[:40_000] and codec.is_kind(codec.compress(sparse_raw, dtype="fp32"), "sparse")
+    assert not codec.is_kind(b"", "sparse") and not codec.is_adaptive(b"PW") and not codec.is_adaptive(frames["opaque"])
+    drift = np.concatenate([np.random.default_rng(k).normal(k % 7 * 30 + 10, 0.7, 1 << 17).astype(np.int64) for k in range(8)]).astype(np.uint8).tobytes()
+    frame = codec.compress(drift, effort="max")
+    assert codec.is_adaptive(frame) and codec.decompress(frame) == drift
+    with pytest.raises(ValueError):
+        codec.compress_as("fields", raw[:8], dtype="fp64")
+
+
+def test_gates_of_large_tensors():
+    u = np.ones(3 << 20, "<u4")
+    assert not codec.sparse_gate(u.tobytes(), 4)
+    u[::8] = 0
+    assert codec.sparse_gate(u.tobytes(), 4)
+    u[:] = 1
+    u[::12] = 0  # the look lets it pass, the count does not
+    assert not codec.sparse_gate(u.tobytes(), 4)
+
+
+def test_turbo_looks_over_the_whole_stream():
+    rng = np.random.default_rng(10)
+    noise, deep = rng.bytes(1 << 20), rng.bytes(1 << 19)
+    assert [p["method"] for p in codec.info(codec.turbo_compress(noise))["planes"]] == ["store"]
+    repeated = deep + rng.bytes(1 << 18) + deep  # nothing to see in its first half
+    assert len(codec.turbo_compress(repeated)) < 0.7 * len(repeated)
+    nearly = rng.bytes(9950) + bytes(50)  # saves under one per cent
+    assert [p["method"] for p in codec.info(codec.turbo_compress(nearly))["planes"]] == ["store"]
+    for raw in (noise, repeated, nearly, b""):
+        assert codec.decompress(codec.turbo_compress(raw)) == raw
+
+
+def test_transforms_are_pruned_in_the_max_tier(monkeypatch):
+    w = np.random.default_rng(11).normal(size=700_000).astype("<f4")
+    half = (w.view("<u4") >> 16).astype("<u2").tobytes()
+    splits = [("byteplane", *codec.split_planes(half, 2)), ("fields", *codec.split_fields(half, "bf16")), ("bitpack", *codec.split_fields(half, "bf16", pack=True))]
+    size = {k: sum(len(codec.zstd_compress(s, 1)) for s in streams) for k, streams, _ in splits}
+    assert [k for k, *_ in codec._pruned(splits)] == [k for k in size if k != max(size, key=size.get)]
+    seen = []
+    monkeypatch.setattr(codec, "Candidate", lambda kind, *a, **k: seen.append(kind) or b"x")
+    codec._candidates(half, "bf16", 2, "fields", 3, "max", False, {})
+    assert len(seen) == 2
+
+
 def test_gates_look_at_bits():
     minus = np.full(100, -0.0, "<f4").tobytes()
     assert not codec.sparse_gate(minus, 4) and codec.sparse_gate(bytes(400), 4)
