@@ -1,7 +1,11 @@
 """A training corpus from ``documents``: language, quality, near duplicates, repeated passages, packing.
 
 Each stage takes all that the one before kept and returns the columns of ``documents``; the last returns pieces
-of packed sequences.  ``run`` writes and rereads every stage's rows in the shared folder.
+of packed sequences.  ``run`` writes and rereads every stage's rows in the shared folder, and removes a stage's table once the next one stands.
+
+Contract of all stages: extra columns pass on whatever their names, but for the last stage, which ignores them; empty tables give empty
+tables; texts are read whole, however long; the order of rows has no meaning.  A null text has no language and goes with the first stage; the
+later stages take it as they say.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planewise.llm import langid, ngram_join, packing, quality, substring
-from planewise.llm.common import small_batches, written
+from planewise.llm.common import remove, small_batches, written
 
 #: Near duplicates here: five-word shingles, Jaccard 0.8 or more.
 SHINGLE, PERCENT = 5, 80
@@ -23,19 +27,30 @@ _KEY = "_near_duplicates_key"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language."""
+    """Documents in a known language.
+
+    Null text, text without a letter and text that no learned language accepts go; a null id stays; of repeated rows all stay or all go.
+    Nothing is learned from rows without ``lang``; with nothing to learn from every row goes.
+    """
     small_batches(spark)
     return langid.keep_known(docs, langid.train(docs))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject.
+
+    Null text is judged as empty text; a null id stays; of repeated rows all stay or all go; without labels of both kinds every
+    row has score 0.5 and stays.
+    """
     small_batches(spark)
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near duplicates, that of the smallest id (rows without an id last) and text digest; one of rows equal in id and text."""
+    """One row of each component of near duplicates, that of the smallest id (rows without an id last) and text digest; one of rows equal in id and text.
+
+    Null text and text without words have no shingles and link with nothing, so they stay.
+    """
     small_batches(spark)
     names, keyed = docs.columns, docs.withColumn(_KEY, F.xxhash64("doc_id", "text"))
     found = ngram_join.component_table(keyed.select(_KEY, "text"), id_col=_KEY, size=SHINGLE, percent=PERCENT).select(F.col("doc_id").alias(_KEY), "component_id")
@@ -52,14 +67,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur earlier in the corpus go; every document stays, with what is its own."""
+    """Passages that occur earlier in the corpus go; every document stays, with what is its own.
+
+    Null text stays null; rows equal in id and text are one document; ``n_chars`` is counted anew (null for null text).
+    """
     small_batches(spark)
     done = substring.dedup_substrings(docs)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences.
+
+    Null text is empty text, one separator; a null id is packed like any other; each of repeated rows is packed for itself.
+    """
     small_batches(spark)
     pieces = packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -79,6 +100,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if made is not None:
+            remove(made)
+        made = docs
     return STAGES[-1][1](spark, docs, sf_dir)
