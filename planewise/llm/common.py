@@ -9,6 +9,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -93,12 +94,29 @@ def _clean() -> None:
             return
 
 
+#: While a table is written, partitions of a shuffle that Spark may coalesce reach this size, whatever the number of cores: fewer, larger files.
+_COALESCE = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
+
+
+@contextmanager
+def _coalesced(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in _COALESCE}
+    for k, v in _COALESCE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/planewise-{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
+    with _coalesced(spark):
+        df.write.option("compression", "zstd").parquet(path)
     # the shuffles behind it are done with: unreachable plans let Spark's cleaner delete their files
     if time.monotonic() - _collected[0] > _EVERY_S:
         gc.collect()

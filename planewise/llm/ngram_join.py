@@ -290,7 +290,7 @@ class NgramJoin:
                 yield from solve(held)
 
         posts = table.where("n > 0").select("n", "grp", "prefix").mapInArrow(trimmed(post), "part int, posts binary")
-        met = posts.repartition(shuffle_partitions(self.spark), "part").sortWithinPartitions("part")
+        met = posts.repartition("part").sortWithinPartitions("part")
         return met.mapInArrow(trimmed(meet), "u long, v long, run binary")
 
     # -- verification --------------------------------------------------------------------------
@@ -467,7 +467,7 @@ class NgramJoin:
         part = F.pmod(F.xxhash64(F.lit("block"), "grp"), F.ceil(F.col("held") / _PAIR_BLOCK).cast("long"))
         blocks = posts.select("key", part.alias("block"), F.struct("grp", "comp", "n", "at").alias("post")).groupBy("key", "block").agg(F.collect_list("post").alias("posts"))
         both = blocks.toDF("key", "a", "pa").join(blocks.toDF("key", "b", "pb"), "key").where("a <= b").join(home, "key").select("home", F.pmod(F.xxhash64("key"), F.lit(_HOMES)).alias("deal"), "a", "b", "pa", F.when(F.col("a") != F.col("b"), F.col("pb")).alias("pb"))
-        dealt = both.repartition(shuffle_partitions(self.spark), "home", "deal", "a", "b").sortWithinPartitions("home").select("home", "pa", "pb")
+        dealt = both.repartition("home", "deal", "a", "b").sortWithinPartitions("home").select("home", "pa", "pb")
 
         def unpack(lists: pa.Array) -> np.ndarray:
             flat = lists.as_py()

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewise.llm.common import pairs_of, shuffle_partitions, trimmed, written
+from planewise.llm.common import pairs_of, trimmed, written
 
 SPACE = "▁"
 #: Stands for a literal U+2581 of the text; valid text has no lone surrogates.
@@ -454,8 +454,7 @@ def _giant(docs: DataFrame, path: str, chunk: int, compare: bool) -> DataFrame:
     while FAN**levels < most:
         levels += 1
     if levels:
-        n = shuffle_partitions(docs.sparkSession)
-        solved = written(chunks.repartition(n, "row", "no").mapInArrow(trimmed(matrices), "row long, no long, matrix binary"), "matrices")
+        solved = written(chunks.repartition("row", "no").mapInArrow(trimmed(matrices), "row long, no long, matrix binary"), "matrices")
         states = scanned(solved, levels)
     else:
         states = chunks.select("row", "no", F.lit(0).cast("long").alias("entry"), F.lit(0).cast("long").alias("leave"))
