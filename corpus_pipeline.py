@@ -58,7 +58,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     members = written(links.union(links.select("component_id", "component_id").distinct()), "members")
     ids = keyed.select(_KEY, "doc_id").join(members, _KEY)
     stay = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _KEY)).alias("x")).select(f"x.{_KEY}")
-    kept = keyed.join(members.select(_KEY).join(stay, _KEY, "left_anti"), _KEY, "left_anti").select(*names, _KEY)
+    # a table of its own, so that Spark knows its size and moves documents only if it is large
+    gone = written(members.select(_KEY).join(stay, _KEY, "left_anti"), "gone")
+    kept = keyed.join(gone, _KEY, "left_anti").select(*names, _KEY)
     repeated = found.groupBy(_KEY).agg(F.count("*").alias("n")).where("n > 1").select(_KEY)
     if not repeated.limit(1).count():
         return kept.select(*names)
