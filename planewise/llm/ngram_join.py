@@ -11,8 +11,8 @@ of the larger have a key in common, which gives the plan:
    candidates, if sizes and places in the sets allow a link; so are neighbours inside a group.
 3. Candidates are verified on their whole sets, and links give components.
 4. Keys that more than three groups share may hide links between groups that were not neighbours.
-   Such pairs matter only between *different* components. Where they are many, two rounds try neighbours in random
-   orders, which joins nearly all that belong together; then every pair left between different components
+   Such pairs matter only between *different* components. Two rounds try neighbours in random orders,
+   which joins nearly all that belong together; then every pair left between different components
    that share a key is listed (components first, then their members), expanded to classes and
    verified.
 
@@ -56,8 +56,6 @@ FILTER_BITS = 28
 _ROUNDS, _NEIGHBOURS = 2, 6
 #: Postings of one key that are compared with each other at a time.
 _PAIR_BLOCK = 1024
-#: Postings of a key, weighted by themselves, up to which all pairs are listed without such rounds; cost only, not results.
-_SPARSE = 4096
 #: Parts that the keys of one component are dealt to.
 _HOMES = 16
 _POST = np.dtype([("key", "<u8"), ("grp", "<i8"), ("n", "<u4"), ("at", "<u2")])
@@ -402,9 +400,7 @@ class NgramJoin:
         posts = posts.join(open_, "grp", "left_semi").select(*posts.columns)
         sets = self._sets_of(self._of(classes, "grp", open_.select("grp").union(beside.select("ga")).union(beside.select("gb"))))
         for turn in range(_ROUNDS):
-            # postings each meet the others of their key at last: rounds pay only where these are many
-            load = posts.agg(F.count("*"), F.sum("held")).first()
-            if not load[0] or load[1] <= _SPARSE * load[0]:
+            if not _any(posts):
                 break
             pairs = _ordered(self._random_neighbours(posts, turn).join(cells.toDF("ga", "ca", "u"), ["ga", "ca"]).join(cells.toDF("gb", "cb", "v"), ["gb", "cb"])).distinct()
             more = written(pairs.join(tried, ["u", "v"], "left_anti"), "more")

@@ -192,7 +192,6 @@ def test_ngram_join_odd_rows(docs, none):
 def test_ngram_join_near_copies(spark, monkeypatch, size, percent, hot):
     """Families whose members differ by few or many words: links, chains of links, and pairs just below the limit; also with nearly all keys dealt out."""
     monkeypatch.setattr(ngram_join, "HOT", hot)
-    monkeypatch.setattr(ngram_join, "_SPARSE", 0 if percent == 80 else ngram_join._SPARSE)
     rng = np.random.default_rng(size)
     rows, common = [], _prose(99, 60).split()
     for family in range(6):
