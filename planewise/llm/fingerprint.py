@@ -7,8 +7,9 @@ only the chunks around it, wherever it shifts the rest to.
 
 Contract: null text is empty text; an empty text has the empty fingerprint, fully contained in an
 empty one and not at all in another; equal texts have equal fingerprints.  Null ids come first in the
-order of documents, equal ids are ordered by text; a repeated row is a document of its own.  An
-empty table gives an empty result.
+order of documents, equal ids are ordered by text; a repeated row is a document of its own; texts are
+read whole; extra columns are ignored.  An empty table gives an empty result.  Documents are dealt to tasks by ranges of ids, so rows
+of one id (or without one) meet in one task, one batch at a time.
 """
 
 from __future__ import annotations

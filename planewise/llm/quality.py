@@ -2,12 +2,14 @@
 
 Each class has a mean and a covariance over transformed document statistics; the covariances are
 shrunk towards their pooled matrix and then towards its scaled identity.  A score is the difference of the two
-log densities (Mahalanobis distances by triangular solves with the cached Cholesky factors, and the
+log densities (Mahalanobis distances by the cached inverses of the Cholesky factors, and the
 log determinants), calibrated to a probability by a logistic fit of two parameters.
 
 Fitted on at most ``most_rows`` labelled documents (a documented bound; chosen by hash of the id).
 Contract: null text is empty text and gets a score like any other; without labels of both classes
-every score is the share of label 1 (0.5 without any label).
+every score is the share of label 1 (0.5 without any label); a null id is learned and scored like any other; repeated rows
+are scored each for itself; texts are read whole, however long; extra columns are ignored (``keep_good`` passes them on); an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

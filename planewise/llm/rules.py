@@ -6,7 +6,9 @@ split's two values bounds what lies below it.  The trees are flattened into node
 (feature, threshold, children, value) and scored level by level for all rows and trees at once.
 
 Fitted on at most ``most_rows`` labelled documents (a documented bound).  Contract: null text has no
-words and fails the base rules; without labels of both classes the trees are a constant.
+words and fails the base rules; without labels of both classes the trees are a constant; a null id is learned and judged like any
+other; repeated rows are judged each for itself; texts are read whole, however long; extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
