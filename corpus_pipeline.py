@@ -39,8 +39,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject.
 
-    Null text is judged as empty text; a null id stays; of repeated rows all stay or all go; without labels of both kinds every
-    row has score 0.5 and stays.
+    Null text is judged as empty text; a null id stays; of repeated rows all stay or all go; without labels of both classes every
+    row has the share of label 1 as its score (0.5 without any label).
     """
     small_batches(spark)
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
