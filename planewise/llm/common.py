@@ -9,9 +9,10 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,13 +111,44 @@ def _coalesced(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+def _may_coalesce(spark: SparkSession) -> bool:
+    return all(spark.conf.get(f"spark.sql.adaptive.{k}").lower() == "true" for k in ("enabled", "coalescePartitions.enabled"))
+
+
+#: Bytes of a staged table that go to one file.
+_FILE_BYTES = 16 << 20
+
+
+@contextmanager
+def _staged(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` in as few partitions as its size asks for, where Spark may not coalesce.
+
+    All tasks of its plan run as they are and leave their rows on the executors' disks; only then the size is known.
+    """
+    level = df.storageLevel
+    ours = not (level.useDisk or level.useMemory)
+    if ours:
+        df.persist(StorageLevel.DISK_ONLY)
+    try:
+        df.count()
+        size = int(str(df.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        yield df.coalesce(-(-size // _FILE_BYTES) or 1)
+    finally:
+        if ours:
+            df.unpersist()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors.
+
+    Files are few: each one makes the JVM spawn about six processes in a local folder, and until such a process has started its
+    program it counts for as much memory as the JVM.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/planewise-{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
-    with _coalesced(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    with _coalesced(spark), nullcontext(df) if _may_coalesce(spark) else _staged(df) as rows:
+        rows.write.option("compression", "zstd").parquet(path)
     # the shuffles behind it are done with: unreachable plans let Spark's cleaner delete their files
     if time.monotonic() - _collected[0] > _EVERY_S:
         gc.collect()

@@ -2,7 +2,18 @@
 
 import __spark_entry__
 import corpus_pipeline
-from planewise.llm import queries
+import pytest
+from planewise.llm import common, queries
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    """Spark may not coalesce the partitions of a shuffle."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
 
 
 def test_every_operator_has_one_query():
@@ -46,3 +57,26 @@ def test_near_duplicates_without_or_with_repeated_ids(spark, sf_dir):
     assert len(got) == len(set(got)) == 5
     assert {(7, text("b")), (9, text("d")), (5, "short")} <= set(got)
     assert sum(i is None and t.startswith("a0 ") for i, t in got) == 1 and sum(i == 9 and t.lower().startswith("c0 ") for i, t in got) == 1
+
+
+def test_written_tables_have_few_files(spark, uncoalesced, monkeypatch):
+    cached = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    df, none = spark.range(5000).selectExpr("id", "id % 7 AS m").repartition(50, "id"), cached()
+    made = common.written(df, "few")
+    assert len(made.inputFiles()) == 1 and sorted(made.collect()) == sorted(df.collect())
+    assert common.written(df.where("id < 0"), "few").count() == 0
+    monkeypatch.setattr(common, "_FILE_BYTES", 10_000)
+    made = common.written(df, "few")
+    assert 1 < len(made.inputFiles()) < 25 and sorted(made.collect()) == sorted(df.collect())
+    assert cached() == none
+    df.cache()
+    assert common.written(df, "few").count() == 5000 and df.storageLevel.useMemory
+    df.unpersist()
+
+
+def test_near_duplicates_where_spark_may_not_coalesce(spark, sf_dir, uncoalesced):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect())
+    assert 0 < len(got) < docs.count()
