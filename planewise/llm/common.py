@@ -115,8 +115,8 @@ def _may_coalesce(spark: SparkSession) -> bool:
     return all(spark.conf.get(f"spark.sql.adaptive.{k}").lower() == "true" for k in ("enabled", "coalescePartitions.enabled"))
 
 
-#: Bytes of a staged table that go to one file.
-_FILE_BYTES = 16 << 20
+#: Bytes of a staged table that go to one file, and its files at least: Spark splits a skewed partition by the tasks that wrote to it.
+_FILE_BYTES, _LEAST_FILES = 16 << 20, 8
 
 
 @contextmanager
@@ -132,7 +132,7 @@ def _staged(df: DataFrame) -> Iterator[DataFrame]:
     try:
         df.count()
         size = int(str(df.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        yield df.coalesce(-(-size // _FILE_BYTES) or 1)
+        yield df.coalesce(max(_LEAST_FILES, -(-size // _FILE_BYTES)))
     finally:
         if ours:
             df.unpersist()
