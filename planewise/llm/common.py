@@ -96,7 +96,12 @@ def _clean() -> None:
 
 
 #: While a table is written, partitions of a shuffle that Spark may coalesce reach this size, whatever the number of cores: fewer, larger files.
-_COALESCE = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
+_COALESCE = {
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    # a staged table's last join may be split by skew, too
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
+}
 
 
 @contextmanager
